@@ -24,7 +24,8 @@ from speechloom.session import cut
 COMMON = 0.002
 #: An opening phrase has no digits and at most this many words.
 OPENING_WORDS = 6
-TAIL = 16
+#: Share of the words that are not common (names, above all) that hold a usual trigram of theirs.
+USUAL = 0.0005
 
 _token = re.compile(r"\d+|[^\W\d_]+")
 _delimiter = re.compile(r"[,:;、。…-]")
@@ -60,38 +61,67 @@ def tokens(text: str) -> tuple[list[str], int]:
     return out, opening
 
 
-def one_slip(a: str, b: str) -> bool:
-    """Whether one insertion, deletion, substitution or exchange of neighbours turns a into b."""
-    if abs(len(a) - len(b)) > 1 or a == b:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
+def slips(a: str, b: str) -> int:
+    """Insertions, deletions, substitutions and exchanges of neighbours that turn a into b (3: more than two)."""
+    if abs(len(a) - len(b)) > 2:
+        return 3
+    two, one = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            v = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                v = min(v, two[j - 2] + 1)
+            row.append(v)
+        two, one = one, row
+    return min(one[-1], 3)
+
+
+def mistyped(a: str, b: str) -> bool:
+    """Whether b is a with a letter left out or doubled or two neighbours exchanged, or a is so made from b."""
+    if len(a) > len(b):
+        a, b = b, a
     if len(a) == len(b):
-        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-    return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
+        at = [i for i in range(len(a)) if a[i] != b[i]]
+        return len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]]
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def shortened(word: str) -> set[str]:
+    return {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def trigrams(word: str) -> set[str]:
+    return {f" {word} "[i : i + 3] for i in range(len(word))}
 
 
 class Speller:
-    """Sets words that are one slip from a common word to it; numbers and other words stay."""
+    """Sets words one slip (two in longer ones) from a common word to it; numbers and other words stay."""
 
     def __init__(self, common: dict[str, int]):
         self.common = common
         self.near: dict[str, list[str]] = {}
         for w in common:
-            if len(w) > 3:
-                for x in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+            if len(w) > 4:
+                for x in {w, *shortened(w), *(z for y in shortened(w) for z in shortened(y) if len(w) > 5)}:
                     self.near.setdefault(x, []).append(w)
         self.known: dict[str, str] = {}
 
+    def _best(self, word: str) -> str:
+        parts = {word, *shortened(word)}
+        if len(word) > 5:
+            parts |= {z for y in shortened(word) for z in shortened(y)}
+        found = [(slips(word, c), -self.common[c], c) for c in {c for x in parts for c in self.near.get(x, ())}]
+        found = [x for x in found if x[0] <= (2 if len(x[2]) > 5 else 1)]
+        return min(found)[2] if found else word
+
     def __call__(self, word: str) -> str:
         if len(word) < 3 or word in self.common or word.isdigit():
             return word
         if word not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            found = {c for x in (word, *(word[:i] + word[i + 1 :] for i in range(len(word)))) for c in self.near.get(x, ()) if one_slip(word, c)}
-            self.known[word] = max(found, key=lambda c: (self.common[c], c)) if found else word
+            self.known[word] = self._best(word)
         return self.known[word]
 
 
@@ -104,8 +134,11 @@ def joined(words: list[str]) -> str:
     return out
 
 
-def common_words(questions: DataFrame, text: str) -> dict[str, int]:
-    """Words in at least COMMON of all texts, with their numbers of texts: counted over the whole table."""
+def common_words(questions: DataFrame, text: str) -> tuple[dict[str, int], set[str]]:
+    """Words in at least COMMON of all texts with their numbers of texts, and the usual trigrams of the other words.
+
+    Both are counted over the whole table and bounded by the inverse of their least shares.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice()
@@ -126,28 +159,40 @@ def common_words(questions: DataFrame, text: str) -> dict[str, int]:
     counts = cut(counts)
     total = counts.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(3, COMMON * total)
-    return {r.word: r.n for r in counts.where((F.col("word") != "") & (F.col("n") >= least)).collect()}
+    common = {r.word: r.n for r in counts.where((F.col("word") != "") & (F.col("n") >= least)).collect()}
+    other = counts.where((F.col("word") != "") & (F.col("n") < least) & (F.length("word") > 2))
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    each = other.select("n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(padded, i, F.lit(3))))).alias("t"))
+    tokens_of_others = other.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    usual = {r.t for r in each.groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, USUAL * tokens_of_others)).collect()}
+    return common, usual
 
 
 def comparable(questions: DataFrame, common: dict[str, int], keep: list[str], text: str = "question") -> DataFrame:
-    """(keep..., whole, opening, rest): the comparable string, a possible opening phrase and what follows it."""
+    """(keep..., shape, names, opening, rest, tail) of texts that are not null or blank.
+
+    shape: the comparable string with a star for each word that is not common; names: those words; opening: a
+    possible opening phrase, and rest: the shape without it; tail: the numbers and the last common word.
+    """
     rows = questions.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_text"))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", whole string, opening string, rest string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", shape string, names string, opening string, rest string, tail string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, spell = Lattice(), Speller(common)
         for b in batches:
-            whole, opening, rest = [], [], []
+            out = []
             for x in b.column(b.num_columns - 1).to_pylist():
                 words, n = tokens(canonical_text(x, lattice))
                 words = [spell(w) for w in words]
-                whole.append(joined(words))
+                usual = [w in common or w.isdigit() for w in words]
+                shape = [w if u else "*" for w, u in zip(words, usual)]
                 usable = 0 < n < len(words) and n <= OPENING_WORDS and not any(w.isdigit() for w in words[:n])
-                opening.append(joined(words[:n]) if usable else None)
-                rest.append(joined(words[n:]) if usable else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(whole, pa.string()), pa.array(opening, pa.string()), pa.array(rest, pa.string())], [*b.schema.names[:-1], "whole", "opening", "rest"])
+                last = next((w for w in reversed(words) if w in common), "")
+                out.append((joined(shape), " ".join(w for w, u in zip(words, usual) if not u), joined(words[:n]) if usable else None, joined(shape[n:]) if usable else None, " ".join([*(w for w in words if w.isdigit()), last])))
+            columns = zip(*out) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(list(c), pa.string()) for c in columns)], [*b.schema.names[:-1], "shape", "names", "opening", "rest", "tail"])
 
-    return rows.mapInArrow(run, shape).where("whole != ''")
+    return rows.mapInArrow(run, schema).where("shape != ''")
 
 
 def covered(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -161,43 +206,71 @@ def covered(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard: an automaton of its evaluation passages over its training texts.
+def _scanner(usual: set[str]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One shard: an automaton of its evaluation passages over its training texts.
 
-    Rows (file, whole, opening, rest, held_out), evaluation rows first.
-    """
-    import ahocorasick
-
-    passages: dict[str, dict[str, list[tuple[str, str | None]]]] = {}
-    machine = None
-    names = ["file", "eval_text", "train_text", "eval_opening", "train_opening"]
-    for b in batches:
-        out: list[tuple] = []
-        for file, whole, opening, rest, held_out in zip(*(c.to_pylist() for c in b.columns)):
-            if held_out:
-                passages.setdefault(whole, {}).setdefault(file, []).append((whole, None))
-                if opening:
-                    passages.setdefault(rest, {}).setdefault(file, []).append((whole, opening))
-                continue
-            if not passages:
-                continue
-            if machine is None:
-                machine = ahocorasick.Automaton()
-                for p in passages:
-                    machine.add_word(p, p)
-                machine.make_automaton()
-            hits: dict[str, list[tuple[int, int]]] = {}
-            for end, p in machine.iter(whole):
-                if file in passages[p]:
-                    hits.setdefault(p, []).append((end + 1 - len(p), end + 1))
-            for p, intervals in hits.items():
-                a, z = covered(intervals)[-1]
-                # the passage is covered whole; the training text must be too, but for an opening phrase
-                if z < len(whole) or (a > 0 and p != rest):
+        Rows (file, held_out, shape, names, opening, rest), evaluation rows first.
+        """
+        import ahocorasick
+
+        # passage -> file -> names, whole or with one shortened -> (names, opening)
+        passages: dict[str, dict[str, dict[tuple, list[tuple[str, str, str | None]]]]] = {}
+        machine = None
+        columns = ["file", "eval_shape", "eval_names", "train_shape", "train_names", "eval_opening", "train_opening"]
+
+        def keys(names: list[str]):
+            yield (-1, *names)
+            for i, name in enumerate(names):
+                if len(name) > 3:
+                    for x in (name, *shortened(name)):
+                        yield (i, *names[:i], x, *names[i + 1 :])
+
+        def same(a: list[str], b: list[str]) -> bool:
+            """Equal, but for one name that is mistyped: it or its partner has a trigram that names usually lack."""
+            odd = [(x, y) for x, y in zip(a, b) if x != y]
+            return not odd or len(odd) == 1 and mistyped(*odd[0]) and not all(trigrams(x) <= usual for x in odd[0])
+
+        for b in batches:
+            out: list[tuple] = []
+            for file, held_out, shape, names, opening, rest in zip(*(c.to_pylist() for c in b.columns)):
+                own = names.split()
+                if held_out:
+                    for p, lead in ((shape, None), *([(rest, opening)] if opening else [])):
+                        n = p.count("*")
+                        at = passages.setdefault(p, {}).setdefault(file, {})
+                        for k in set(keys(own[len(own) - n :])):
+                            at.setdefault(k, []).append((shape, names, lead))
+                    continue
+                if not passages:
                     continue
-                out += [(file, text, whole, lead, opening if a > 0 else None) for text, lead in passages[p][file]]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names)
+                if machine is None:
+                    machine = ahocorasick.Automaton()
+                    for p in passages:
+                        machine.add_word(p, p)
+                    machine.make_automaton()
+                hits: dict[str, list[tuple[int, int]]] = {}
+                for end, p in machine.iter(shape):
+                    if file in passages[p]:
+                        hits.setdefault(p, []).append((end + 1 - len(p), end + 1))
+                for p, intervals in hits.items():
+                    a, z = covered(intervals)[-1]
+                    # the passage is covered whole; the training text must be too, but for an opening phrase
+                    if z < len(shape) or (a > 0 and p != rest):
+                        continue
+                    n = p.count("*")
+                    mine = own[len(own) - n :]
+                    seen = set()
+                    for k in set(keys(mine)):
+                        for other, theirs, lead in passages[p][file].get(k, ()):
+                            if (other, theirs, lead) not in seen:
+                                seen.add((other, theirs, lead))
+                                if same(mine, theirs.split()[len(theirs.split()) - n :]):
+                                    out.append((file, other, theirs, shape, names, lead, opening if a > 0 else None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], columns)
+
+    return scan
 
 
 def split_overlaps(samples: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -206,25 +279,28 @@ def split_overlaps(samples: DataFrame, recordings: DataFrame) -> DataFrame:
     (eval_no, train_no, split, source), split and source of the evaluation row. Rows whose path is null or names
     no known recording, and null or blank questions, have no pairs. Re-loaded rows count as rows of their own:
     the scan sees each different text of a recording once, whatever its number of copies, and the rows are joined
-    to the result. A shard is a hash of the recording and the end of the text, which a text shares with any
-    passage that could match it, so a recording with a third of all rows spreads over the shards too.
+    to the result. A shard is a hash of the recording, the numbers and the last common word, which a text shares
+    with any passage that could match it, so a recording with a third of all rows spreads over the shards too.
+    Names must be equal, but that one may be mistyped (a letter left out or doubled, neighbours exchanged).
     """
     known = recordings.select(file_of_recording(F.col("rec_id")).alias("file")).distinct()
     rows = samples.where("sample_no is not null and split is not null").select("sample_no", "split", "source", "question", file_of_path(F.col("audio_path")).alias("file")).where("file is not null")
-    common = common_words(samples, "question")
+    common, usual = common_words(samples, "question")
     rows = cut(comparable(rows, common, ["sample_no", "split", "source", "file"]).join(known, "file", "left_semi"))
     held_out = F.col("split") != "train"
-    texts = rows.select("file", "whole", "opening", "rest", held_out.alias("held_out")).distinct()
-    sharded = texts.repartition("file", F.substring("whole", -TAIL, TAIL)).sortWithinPartitions(F.desc("held_out"))
-    found = cut(sharded.mapInArrow(_scan, "file string, eval_text string, train_text string, eval_opening string, train_opening string").distinct())
+    texts = rows.select("file", held_out.alias("held_out"), "shape", "names", "opening", "rest", "tail").distinct()
+    sharded = texts.repartition("file", "tail").sortWithinPartitions(F.desc("held_out")).drop("tail")
+    found = sharded.mapInArrow(_scanner(usual), "file string, eval_shape string, eval_names string, train_shape string, train_names string, eval_opening string, train_opening string")
+    found = cut(found.distinct())
     shown = found.where("(eval_opening is null) != (train_opening is null)").select(F.coalesce("eval_opening", "train_opening").alias("opening")).distinct()
     both = found.where("eval_opening is not null and train_opening is not null")
     both = both.join(shown.withColumnRenamed("opening", "eval_opening"), "eval_opening", "left_semi").join(shown.withColumnRenamed("opening", "train_opening"), "train_opening", "left_semi")
     one = found.where("eval_opening is null or train_opening is null")
-    pairs = one.select("file", "eval_text", "train_text").unionByName(both.select("file", "eval_text", "train_text")).distinct()
-    tests = rows.where(held_out).select("file", F.col("whole").alias("eval_text"), F.col("sample_no").alias("eval_no"), "split", "source")
-    train = rows.where(~held_out).select("file", F.col("whole").alias("train_text"), F.col("sample_no").alias("train_no"))
-    return pairs.join(tests, ["file", "eval_text"]).join(train, ["file", "train_text"]).select("eval_no", "train_no", "split", "source")
+    sides = ["file", "eval_shape", "eval_names", "train_shape", "train_names"]
+    pairs = one.select(sides).unionByName(both.select(sides)).distinct()
+    tests = rows.where(held_out).select("file", F.col("shape").alias("eval_shape"), F.col("names").alias("eval_names"), F.col("sample_no").alias("eval_no"), "split", "source")
+    train = rows.where(~held_out).select("file", F.col("shape").alias("train_shape"), F.col("names").alias("train_names"), F.col("sample_no").alias("train_no"))
+    return pairs.join(tests, ["file", "eval_shape", "eval_names"]).join(train, ["file", "train_shape", "train_names"]).select("eval_no", "train_no", "split", "source")
 
 
 def overlap_counts(pairs: DataFrame) -> DataFrame:
