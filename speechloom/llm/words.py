@@ -10,14 +10,17 @@ import pyarrow.compute as pc
 from speechloom.llm.lookalikes import Lattice, canonical_text
 
 
-def plain_words(texts: list[str | None], lattice: Lattice) -> tuple[pa.Array, np.ndarray]:
+def plain_words(texts: list[str | None], lattice: Lattice, join_apostrophes: bool = True, part_dense: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and the offsets of each text's words.
 
-    An apostrophe joins the letters around it; any other character that is no letter, mark or digit parts words.
+    An apostrophe joins the letters around it, or parts them like any character that is no letter, mark or digit. With part_dense each letter of scripts written without spaces is a word.
     """
     clean = pa.array([canonical_text(x, lattice) if x else "" for x in texts], pa.large_string())
     clean = pc.utf8_lower(clean)
-    clean = pc.replace_substring_regex(clean, r"['’`´]", "")
+    if join_apostrophes:
+        clean = pc.replace_substring_regex(clean, r"['’`´]", "")
+    if part_dense:
+        clean = pc.replace_substring_regex(clean, r"([\x{3041}-\x{30FF}\x{3400}-\x{9FFF}])", r" \1 ")
     clean = pc.utf8_trim_whitespace(pc.replace_substring_regex(clean, r"[^\p{L}\p{M}\p{N}]+", " "))
     lists = pc.split_pattern(clean, " ")
     size = np.asarray(pc.list_value_length(lists), np.int64)
