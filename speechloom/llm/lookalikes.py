@@ -28,7 +28,7 @@ IGNORABLE = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ"
 #: The plain characters, as a class for Java and Python patterns alike: no form of them needs a change.
 PLAIN = "\\u0020-\\u007E\\u00A1-\\u00A7\\u00A9\\u00AB\\u00AC\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u0130\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u0401\\u0410-\\u044F\\u0451\\u3001\\u3002\\u300C-\\u300F\\u3041-\\u3096\\u30A1-\\u30FA\\u30FC\\u4E00-\\u9FFF\\uAC00-\\uD7A3"
 LATIN, CYRILLIC = "A-Za-z\\u00C0-\\u024F", "\\u0400-\\u04FF"
-SUSPECT = f"[^{PLAIN}]|[{LATIN}][^{CYRILLIC}]*[{CYRILLIC}]|[{CYRILLIC}][^{LATIN}]*[{LATIN}]"
+ODD, LATIN_LETTER, CYRILLIC_LETTER = f"[^{PLAIN}]", f"[{LATIN}]", f"[{CYRILLIC}]"
 
 SCRIPTS = 3
 #: Codepoints below this hold all letters of the three alphabets.
@@ -130,12 +130,12 @@ class Lattice:
         return text
 
 
-_suspect = re.compile(SUSPECT).search
+_odd, _latin, _cyrillic = (re.compile(x).search for x in (ODD, LATIN_LETTER, CYRILLIC_LETTER))
 
 
 def canonical_text(text: str, lattice: Lattice) -> str:
     """The canonical form; plain texts return at once."""
-    return lattice.canonical(text) if _suspect(text) else text
+    return lattice.canonical(text) if not text.isascii() and (_odd(text) or _cyrillic(text) and _latin(text)) or text.isascii() and _odd(text) else text
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +173,9 @@ def letter_bigrams(*texts: DataFrame) -> dict[tuple[int, int], int]:
 
 
 def suspect(text: Column | str) -> Column:
-    """Whether a text may differ from its canonical form."""
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).rlike(SUSPECT)
+    """Whether a text may differ from its canonical form: patterns of one character each, so one pass each."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return text.rlike(ODD) | (text.rlike(CYRILLIC_LETTER) & text.rlike(LATIN_LETTER))
 
 
 def canonical_column(df: DataFrame, text: str, bigrams: dict | None = None, out: str = "canonical", only_changed: bool = False) -> DataFrame:
