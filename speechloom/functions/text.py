@@ -159,29 +159,38 @@ def quoted_runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\"[^\"]*\"|«[^»]*»|“[^”]*”|[^\"«“]+|[\"«“])"))
 
 
-def repeated_ngram_cut(text: Column, n: int = 5, window: int = 150, step: int = 50, most: int = 5) -> Column:
+def cut_loop(text: str | None, n: int = 5, window: int = 150, step: int = 50, most: int = 5) -> str | None:
     """The text cut before the second occurrence of an n-gram that a window holds more than `most` times.
 
     Windows of `window` words start every `step` words while a whole one is left (at 0 for short texts); the
     last n-gram of a window is not counted; among equals the first seen is taken. Texts of n words or fewer
     and those without such an n-gram stay as they are.
     """
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    size = F.size(words)
-    gram = lambda ws, i: F.array_join(F.slice(ws, i + 1, n), " ")
-    starts = F.sequence(F.lit(0), F.greatest(size - window, F.lit(0)), F.lit(step))
-
-    def looped(start: Column) -> Column:
-        ws = F.slice(words, start + 1, window)
-        last = F.size(ws) - n - 1
-        grams = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: gram(ws, i))).otherwise(F.array().cast("array<string>"))
-        counted = F.transform(F.array_distinct(grams), lambda g: F.struct(F.size(F.filter(grams, lambda x: x == g)).alias("n"), g.alias("g")))
-        best = F.array_max(F.transform(counted, lambda c: c["n"]))
-        return F.when(best > most, F.element_at(F.filter(counted, lambda c: c["n"] == best), 1)["g"])
-
-    found = F.try_element_at(F.filter(F.transform(starts, looped), lambda g: g.isNotNull()), F.lit(1))
-    places = F.filter(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda i: gram(words, i) == found)
-    return F.when((size > n) & found.isNotNull() & (F.size(places) > 1), F.array_join(F.slice(words, 1, F.element_at(places, 2)), " ")).otherwise(text)
+    words = (text or "").split()
+    if len(words) <= n:
+        return text
+    grams = list(zip(*(words[i:] for i in range(n))))
+    for start in range(0, max(1, len(words) - window + 1), step):
+        counts: dict[tuple, int] = {}
+        for g in grams[start : max(start, min(start + window, len(words)) - n)]:
+            counts[g] = counts.get(g, 0) + 1
+        best = max(counts, key=counts.__getitem__, default=None)
+        if best is not None and counts[best] > most:
+            second = grams.index(best, grams.index(best) + 1)
+            return " ".join(words[:second])
+    return text
+
+
+def repeated_ngram_cut(text: Column, n: int = 5, window: int = 150, step: int = 50, most: int = 5) -> Column:
+    """cut_loop over a column: counting n-grams by window has no built-in form of linear cost."""
+
+    @F.pandas_udf("string")
+    def cut(texts):
+        import pandas as pd
+
+        return pd.Series([cut_loop(x, n, window, step, most) for x in texts], dtype=object)
+
+    return cut(text)
 
 
 def merge_overlap(a: Column, b: Column, most: int) -> Column:

@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechloom.session import cut
+
 
 def hash_key(key: Column, seed: int) -> Column:
     """The order that stands for a seeded shuffle: md5 of seed, bar and key; ties broken by the caller."""
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
+def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """df with the rank, from 1, of each row in a total order: no task sees more than its range of rows.
+
+    Rows are partitioned by ranges of the order; a rank is the row's place in its range plus the sizes of the
+    ranges before, of which there is one row each.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    # as many rows as partitions
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_range", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_place", place).join(offsets, "_range").withColumn(name, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
+
+
+def _with_total(df: DataFrame, name: str) -> DataFrame:
+    # one row on the other side
+    return df.join(F.broadcast(df.agg(F.count("*").alias(name))))
+
+
 def first_n_per_group(df: DataFrame, group: list[str], key: str, n: Column | int, seed: int = 0) -> DataFrame:
     """n rows of each group in hash order, with their rank."""
     order = Window.partitionBy(*group).orderBy(hash_key(F.col(key), seed), key)
@@ -20,12 +42,14 @@ def first_n_per_group(df: DataFrame, group: list[str], key: str, n: Column | int
 
 def train_eval_split(df: DataFrame, key: str, fraction: float, seed: int = 0, group: list[str] | None = None) -> DataFrame:
     """df with is_eval: half-even round(n * fraction) rows of each group, one at least and n - 1 at most."""
-    group = group or []
-    every = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    order = every.orderBy(hash_key(F.col(key), seed), key)
-    n = F.count("*").over(every)
-    k = F.least(F.greatest(F.bround(n * F.lit(fraction)), F.lit(1)), n - 1)
-    return df.withColumn("is_eval", F.row_number().over(order) <= k)
+    shuffled = hash_key(F.col(key), seed)
+    if group:
+        n, rank = F.count("*").over(Window.partitionBy(*group)), F.row_number().over(Window.partitionBy(*group).orderBy(shuffled, key))
+        rows = df.withColumn("_n", n).withColumn("_rank", rank)
+    else:
+        rows = _with_total(global_rank(df, [shuffled, key], "_rank"), "_n")
+    k = F.least(F.greatest(F.bround(F.col("_n") * F.lit(fraction)), F.lit(1)), F.col("_n") - 1)
+    return rows.withColumn("is_eval", F.col("_rank") <= k).drop("_n", "_rank")
 
 
 def stratified_partitions(df: DataFrame, label: str, key: str, val: float, test: float, seed: int = 0) -> DataFrame:
@@ -77,22 +101,25 @@ def upsample(df: DataFrame, key: str, is_target: Column, factor: float, seed: in
 
 def contiguous_shards(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """df with shard 0..n-1: contiguous, the first ones larger by a row where needed."""
-    return df.withColumn("shard", F.ntile(n).over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+    ranked = _with_total(global_rank(df, order, "_rank"), "_total")
+    base, extra, at = F.floor(F.col("_total") / n), F.col("_total") % n, F.col("_rank") - 1
+    long = extra * (base + 1)
+    shard = F.when(at < long, F.floor(at / (base + 1))).otherwise(extra + F.floor((at - long) / F.greatest(base, F.lit(1))))
+    return ranked.withColumn("shard", shard.cast("bigint")).drop("_rank", "_total")
 
 
 def session_shards(df: DataFrame, session: str, position: str, n: int) -> DataFrame:
     """(session, shard): sessions in order of first appearance, rank * n / sessions rounded down."""
     first = df.groupBy(session).agg(F.min(position).alias("first"))
-    whole = Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(whole.orderBy("first")) - 1
-    return first.select(session, F.floor(rank * n / F.count("*").over(whole)).alias("shard"))
+    ranked = _with_total(global_rank(first, ["first"], "_rank"), "_total")
+    return ranked.select(session, F.floor((F.col("_rank") - 1) * n / F.col("_total")).alias("shard"))
 
 
 def round_robin_shards(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """(key, shard, rows): distinct keys dealt out in hash order, with their rows."""
     keys = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
-    order = Window.partitionBy(F.lit(0)).orderBy(hash_key(F.col(key), seed), key)
-    return keys.select(key, ((F.row_number().over(order) - 1) % n).alias("shard"), "rows")
+    ranked = global_rank(keys, [hash_key(F.col(key), seed), key], "_rank")
+    return ranked.select(key, ((F.col("_rank") - 1) % n).cast("bigint").alias("shard"), "rows")
 
 
 def interleave(df: DataFrame, group: str, key: str, replicas: int, replica: int, seed: int = 0) -> DataFrame:
@@ -102,8 +129,8 @@ def interleave(df: DataFrame, group: str, key: str, replicas: int, replica: int,
     least = ranked.groupBy(group).agg(F.max("rank").alias("n")).agg(F.min("n").alias("least"))
     # one row
     kept = ranked.join(F.broadcast(least)).where("rank <= least").drop("least")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank", group)) - 1
-    return kept.withColumn("place", place).where(F.col("place") % replicas == replica)
+    placed = global_rank(kept, ["rank", group], "place").withColumn("place", (F.col("place") - 1).cast("bigint"))
+    return placed.where(F.col("place") % replicas == replica)
 
 
 def top_magnitudes(df: DataFrame, name: str, index: str, value: str, ratio: float, least: int = 1) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechloom.plans import problems
+from speechloom.plans import problems, reference
 
-QUERIES = dict(problems.QUERIES)
-ORACLES = dict(problems.ORACLES)
+QUERIES = problems.QUERIES | reference.QUERIES
+ORACLES = problems.ORACLES | reference.ORACLES
