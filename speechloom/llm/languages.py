@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,81 +192,112 @@ def _paths(scores: np.ndarray) -> np.ndarray:
     return path
 
 
-def analyse(texts: list[str | None], model: Model, lattice: Lattice) -> list[tuple[int, np.ndarray, list[tuple]]]:
-    """Of each text: letters, summed scores, and stretches (first word, words, language, letters, summed scores, known)."""
+def analyse(texts: list[str | None], model: Model, lattice: Lattice) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, list[tuple]]]:
+    """Words, letters and summed scores of each text; of texts whose path changes, by place, their stretches
+    (first word, words, language, letters, summed scores, known).
+    """
     words, offsets = plain_words(texts, lattice, False, True)
     coded = words.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
     n = len(model.codes)
-    rows = [model.word(w) for w in coded.dictionary.to_pylist()]
+    rows = [model.word(w) for w in distinct]
     index = np.asarray(coded.indices)
-    score = (np.stack([r[0] for r in rows]) if rows else np.zeros((0, n), np.float32))[index]
+    table = np.stack([r[0] for r in rows]) if rows else np.zeros((0, n), np.float32)
+    score = table[index]
     letters = np.array([r[1] for r in rows], np.int64)[index]
-    unspaced = np.array([r[2] for r in rows], bool)[index]
-    common = np.array([w in model.words for w in coded.dictionary.to_pylist()], bool)[index]
     length = np.diff(offsets)
+    full = length > 0
+    total, size = np.zeros((len(texts), n), np.float32), np.zeros(len(texts), np.int64)
+    if full.any():
+        total[full], size[full] = np.add.reduceat(score, offsets[:-1][full]), np.add.reduceat(letters, offsets[:-1][full])
     path = np.zeros(len(index), np.int64)
-    for size in np.unique(length[length > 0]):
-        at = np.flatnonzero(length == size)
-        for part in np.array_split(at, max(1, len(at) * int(size) // 400_000)):
-            flat = offsets[part][:, None] + np.arange(size)
+    for count in np.unique(length[full]):
+        at = np.flatnonzero(length == count)
+        for part in np.array_split(at, max(1, len(at) * int(count) // 400_000)):
+            flat = offsets[part][:, None] + np.arange(count)
             path[flat] = _paths(score[flat])
-    out = []
-    for i, (a, b) in enumerate(zip(offsets, offsets[1:])):
-        if a == b:
-            out.append((0, np.zeros(n, np.float32), []))
-            continue
+    turn = np.flatnonzero(path[1:] != path[:-1]) + 1
+    of = np.searchsorted(offsets, turn, side="right") - 1
+    changed = np.unique(of[turn > offsets[of]])
+    unspaced = np.array([r[2] for r in rows], bool)
+    common = np.array([w in model.words for w in distinct], bool)
+    out = {}
+    for i in changed.tolist():
+        a, b = offsets[i], offsets[i + 1]
         p = path[a:b]
-        edges = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), b - a] if len(p) > 1 and (p != p[0]).any() else [0, b - a]
+        edges = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), b - a]
         stretches = []
         for x, y in zip(edges, edges[1:]):
-            c = int(p[x])
-            own = score[a + x : a + y, c]
-            known = bool((unspaced[a + x : a + y] & (own > -1)).any() or (common[a + x : a + y] & (own > -0.7) & (score[a + x : a + y].mean(axis=1) < -1.5)).any())
-            stretches.append((x, y - x, c, int(letters[a + x : a + y].sum()), score[a + x : a + y].sum(axis=0), known))
-        out.append((int(letters[a:b].sum()), score[a:b].sum(axis=0), stretches))
-    return out
+            c, at, part = int(p[x]), index[a + x : a + y], score[a + x : a + y]
+            own = part[:, c]
+            known = bool((unspaced[at] & (own > -1)).any() or (common[at] & (own > -0.7) & (part.mean(axis=1) < -1.5)).any())
+            stretches.append((x, int(y - x), c, int(letters[a + x : a + y].sum()), part.sum(axis=0), known))
+        out[i] = stretches
+    return length, size, total, out
+
+
+def _add(prior: np.ndarray, column, codes: list[str], weight: float) -> None:
+    """Adds a weight where a row's code is one of the model's."""
+    coded = column.dictionary_encode()
+    places = {c: i for i, c in enumerate(codes)}
+    to = np.array([places.get(c, -1) for c in coded.dictionary.to_pylist()] + [-1], np.int64)
+    at = to[np.asarray(coded.indices.fill_null(len(to) - 1))]
+    rows = np.flatnonzero(at >= 0)
+    prior[rows, at[rows]] += weight
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=-1, keepdims=True))
+    return z / z.sum(axis=-1, keepdims=True)
 
 
 def _judge(model: Broadcast):
-    """Rows (kind, key, text, label_code, address_code, host prior array) to stretches."""
+    """Rows (kind, key, text, label_code, address_code, host priors) to stretches."""
+    names = ["record_kind", "record_key", "label_code", "stretch", "first_word", "words", "letters", "text_letters", "language", "confidence", "mixed"]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, lattice = Model(*model.value), Lattice()
-        at = {c: i for i, c in enumerate(m.codes)}
-        names = ["record_kind", "record_key", "label_code", "stretch", "first_word", "words", "letters", "text_letters", "language", "confidence", "mixed"]
+        places = {c: i for i, c in enumerate(m.codes)}
+        codes = np.array(m.codes, dtype=object)
         for b in batches:
-            kinds, keys, texts, labels, addresses, hosts = (c.to_pylist() for c in b.columns)
-            out = []
-            for kind, key, label, address, host, (total, score, stretches) in zip(kinds, keys, labels, addresses, hosts, analyse(texts, m, lattice)):
-                prior = np.zeros(len(m.codes))
-                if label in at:
-                    prior[at[label]] += LABEL_WEIGHT
-                if address in at:
-                    prior[at[address]] += ADDRESS_WEIGHT
-                for x in host or ():
-                    if x["code"] in at:
-                        prior[at[x["code"]]] += HOST_WEIGHT * math.log(max(x["rate"], 0.01) / 0.01) / math.log(100)
+            if not b.num_rows:
+                continue
+            prior = np.zeros((b.num_rows, len(m.codes)))
+            _add(prior, b.column(3), m.codes, LABEL_WEIGHT)
+            _add(prior, b.column(4), m.codes, ADDRESS_WEIGHT)
+            hosts = b.column(5).fill_null([]) if b.column(5).null_count else b.column(5)
+            flat, ends = hosts.flatten(), np.r_[0, np.cumsum(np.asarray(pa.compute.list_value_length(hosts)))]
+            named = flat.field("code").dictionary_encode()
+            at = np.array([places.get(c, -1) for c in named.dictionary.to_pylist()], np.int64)[np.asarray(named.indices)] if len(flat) else np.empty(0, np.int64)
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            rate = np.maximum(np.asarray(flat.field("rate")), 0.01) if len(flat) else np.empty(0)
+            use = at >= 0
+            np.add.at(prior, (row[use], at[use]), HOST_WEIGHT * np.log(rate[use] / 0.01) / math.log(100))
+
+            length, letters, score, changed = analyse(b.column(2).to_pylist(), m, lattice)
+            mixed, out = [], []
+            for i, stretches in changed.items():
                 by_code: dict[int, int] = {}
-                for _, _, c, letters, _, known in stretches:
+                for _, _, c, n, _, known in stretches:
                     if known:
-                        by_code[c] = by_code.get(c, 0) + letters
-                mixed = sum(v >= LEAST_LETTERS for v in by_code.values()) > 1
-
-                def confidence(scores, c):
-                    z = scores + prior
-                    z = np.exp(z - z.max())
-                    return round(float(z[c] / z.sum()), 6)
-
-                if mixed:
-                    for k, (first, words, c, letters, s, known) in enumerate(stretches):
-                        out.append((kind, key, label, k, first, words, letters, total, m.codes[c], confidence(s, c), by_code.get(c, 0) >= LEAST_LETTERS))
-                elif stretches:
-                    c = int((score + prior).argmax())
-                    out.append((kind, key, label, 0, 0, sum(x[1] for x in stretches), total, total, m.codes[c], confidence(score, c), False))
-                else:
-                    out.append((kind, key, label, 0, 0, 0, 0, 0, None, 0.0, False))
+                        by_code[c] = by_code.get(c, 0) + n
+                if sum(v >= LEAST_LETTERS for v in by_code.values()) > 1:
+                    mixed.append(i)
+                    first = [b.column(k)[i].as_py() for k in (0, 1, 3)]
+                    for k, (start, words, c, n, s, _) in enumerate(stretches):
+                        out.append((*first, k, start, words, n, int(letters[i]), m.codes[c], round(float(_softmax(s + prior[i])[c]), 6), by_code.get(c, 0) >= LEAST_LETTERS))
+            one = np.setdiff1d(np.arange(b.num_rows), np.array(mixed, np.int64))
+            z = _softmax(score[one] + prior[one])
+            best = z.argmax(axis=1)
+            empty = length[one] == 0
+            zero = np.zeros(len(one), np.int32)
+            take = pa.array(one)
+            language = np.where(empty, None, codes[best])
+            sure = np.where(empty, 0.0, np.round(z[np.arange(len(one)), best], 6))
+            columns = [b.column(0).take(take), b.column(1).take(take), b.column(3).take(take), zero, zero, length[one].astype(np.int32), letters[one], letters[one], language, sure, np.zeros(len(one), bool)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names)
             if out:
-                types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return run
