@@ -5,7 +5,7 @@ The tables hold no model output, so predictions are made by arithmetic on row nu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechloom.functions import text as tx
@@ -507,3 +507,69 @@ def q_metric_cer_by_language(spark, sf):
 def q_metric_alignment(spark, sf):
     rows = metrics.alignment_counts(_scored(spark, sf), ["utt_id"], "reference", "hypothesis")
     return rows.agg(*(F.sum(c).alias(c) for c in ("hits", "substitutions", "deletions", "insertions")))
+
+
+# counts, sets and orders of the question table
+
+
+@query("SELECT split, count(*) AS rows, count(DISTINCT audio_path) AS audio, count(DISTINCT nullif(lower(trim(language)), '')) AS languages FROM mcq_samples GROUP BY split")
+def q_agg_distinct_counts(spark, sf):
+    return table(spark, sf, "mcq_samples").groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("audio_path").alias("audio"), F.count_distinct(tx.label_or_null(F.col("language"))).alias("languages"))
+
+
+@query("SELECT audio_path, sha1(audio_path) AS audio_id, count(*) AS questions FROM mcq_samples WHERE audio_path IS NOT NULL GROUP BY audio_path")
+def q_agg_questions_per_audio(spark, sf):
+    rows = table(spark, sf, "mcq_samples").where("audio_path is not null")
+    return rows.groupBy("audio_path").agg(F.sha1("audio_path").alias("audio_id"), F.count("*").alias("questions"))
+
+
+@query("SELECT label, count(*) AS questions, min(sample_no) AS first_no FROM (SELECT sample_no, unnest(choice_labels) AS label FROM mcq_samples) GROUP BY label")
+def q_agg_label_availability(spark, sf):
+    each = table(spark, sf, "mcq_samples").select("sample_no", F.explode("choice_labels").alias("label"))
+    return each.groupBy("label").agg(F.count("*").alias("questions"), F.min("sample_no").alias("first_no"))
+
+
+@query("SELECT count(sample_id) AS rows, count(DISTINCT sample_id) AS different, count(sample_id) > count(DISTINCT sample_id) AS repeated FROM mcq_samples")
+def q_set_duplicates(spark, sf):
+    n, d = F.count("sample_id"), F.count_distinct("sample_id")
+    return table(spark, sf, "mcq_samples").agg(n.alias("rows"), d.alias("different"), (n > d).alias("repeated"))
+
+
+@query("""SELECT sample_no, question, 'original' AS version FROM mcq_samples UNION ALL
+SELECT sample_no, upper(question), 'copy' FROM mcq_samples WHERE lower(trim(language)) NOT LIKE 'en%' AND regexp_matches(question, '^[ -~]*$')""")
+def q_set_mixed_union(spark, sf):
+    rows = table(spark, sf, "mcq_samples")
+    copies = rows.where(~F.lower(F.trim("language")).startswith("en") & F.col("question").rlike("^[ -~]*$"))
+    return rows.select("sample_no", "question", F.lit("original").alias("version")).unionByName(copies.select("sample_no", F.upper("question").alias("question"), F.lit("copy").alias("version")))
+
+
+@query("""SELECT language, utt_id FROM (SELECT language, utt_id, row_number() OVER (PARTITION BY language ORDER BY md5('9|' || utt_id), utt_id, ingested_at) AS r FROM segments)
+WHERE r <= CASE WHEN language = 'english' THEN 60 ELSE 25 END""")
+def q_sample_capped_languages(spark, sf):
+    rows = table(spark, sf, "segments").select("language", "utt_id", "ingested_at")
+    order = Window.partitionBy("language").orderBy(sampling.hash_key(F.col("utt_id"), 9), "utt_id", "ingested_at")
+    cap = F.when(F.col("language") == "english", 60).otherwise(25)
+    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).select("language", "utt_id")
+
+
+@query(_PREDS + "SELECT source, sample_no, round(avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY source ORDER BY sample_no ROWS UNBOUNDED PRECEDING), 6) AS running FROM preds")
+def q_window_running_accuracy(spark, sf):
+    so_far = Window.partitionBy("source").orderBy("sample_no").rowsBetween(Window.unboundedPreceding, 0)
+    return _predictions(spark, sf).select("source", "sample_no", F.round(F.avg(F.when(F.col("is_correct"), 1.0).otherwise(0.0)).over(so_far), 6).alias("running"))
+
+
+@query("""WITH s AS (SELECT DISTINCT utt_id, list_filter(string_split(trim(text), ' '), lambda w: w != '') AS w FROM segments WHERE trim(text) != '')
+SELECT utt_id, CAST(len(w) // 4 AS BIGINT) AS word_edits, CAST(len(w) AS BIGINT) AS words FROM s ORDER BY word_edits DESC, words DESC, utt_id LIMIT 50""")
+def q_sort_worst_sentences(spark, sf):
+    rows = metrics.with_word_errors(_scored(spark, sf).drop("language").distinct(), "reference", "hypothesis")
+    return rows.orderBy(F.desc("word_edits"), F.desc("words"), "utt_id").limit(50).select("utt_id", "word_edits", "words")
+
+
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower(trim({})), '[^\p{{L}}\p{{N}}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""SELECT sample_no, CASE WHEN list_contains(choice_labels, upper(trim(gold_choice))) THEN upper(trim(gold_choice)) ELSE
+list_extract(list_filter(choice_labels, lambda x: {_NORMAL.format('choices[x]')} = {_NORMAL.format('gold_choice')}), 1) END AS gold FROM mcq_samples""")
+def q_text_resolve_gold(spark, sf):
+    texts = F.transform("choice_labels", lambda x: F.try_element_at("choices", x))
+    return table(spark, sf, "mcq_samples").select("sample_no", tx.resolve_gold(F.col("choice_labels"), texts, F.col("gold_choice")).alias("gold"))
