@@ -335,10 +335,19 @@ _W = r"[^\p{L}\p{N}_\s-]"
 _COLLAPSE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
 
+def _text_labels(rows: DataFrame) -> DataFrame:
+    return rows.select("sample_no", tx.normalize_label(F.col("question")).alias("label"), tx.normalize_choice(F.col("gold_choice")).alias("choice"), tx.label_or_null(F.col("language")).alias("language"))
+
+
 @query("SELECT sample_no, " + _COLLAPSE.format(f"regexp_replace(lower(trim(question)), '{_W}', ' ', 'g')") + " AS label, upper(trim(gold_choice)) AS choice, nullif(lower(trim(language)), '') AS language FROM mcq_samples WHERE regexp_matches(question, '^[ -~]*$')")
 def q_text_labels(spark, sf):
-    rows = table(spark, sf, "mcq_samples").where(F.col("question").rlike("^[ -~]*$"))
-    return rows.select("sample_no", tx.normalize_label(F.col("question")).alias("label"), tx.normalize_choice(F.col("gold_choice")).alias("choice"), tx.label_or_null(F.col("language")).alias("language"))
+    return _text_labels(table(spark, sf, "mcq_samples").where(F.col("question").rlike("^[ -~]*$")))
+
+
+@query()
+def q_text_labels_all(spark, sf):
+    """Labels of questions in any script, and of null ones; the SQL of q_text_labels holds printable ASCII alone."""
+    return _text_labels(table(spark, sf, "mcq_samples"))
 
 
 @query(r"""SELECT rec_id, regexp_replace(regexp_replace(regexp_replace(trim(audio_path), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS id, regexp_replace(list_extract(string_split(audio_path, '/'), -1), '\.[^.]*$', '') AS stem,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from speechloom.functions import text as tx
 from speechloom.functions import timeref
 from speechloom.operators import joins, mcq, metrics, sampling
+from speechloom.plans import reference
 from speechloom.sources import kaldi
 from speechloom.streaming import windows
 
@@ -147,3 +148,11 @@ def test_stream_equals_batch(spark, rows, tmp_path):
     query = stream.writeStream.format("memory").queryName("tumbled").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert rows(spark.table("tumbled")) == rows(windows.tumbling(events))
+
+
+def test_labels_of_any_script(spark, rows, tmp_path):
+    asked = [(1, " Who SANG, at 5:30? ", " b", "English"), (2, "Où est l'ÉCOLE – là-bas?", "a", " French "), (3, "Кто ПОЁТ?", "c", "russian"), (4, "誰が歌う？　二回", "d", ""), (5, "누가 노래해?", None, None), (6, None, "a", "greek"), (7, "", "a", "greek")]
+    spark.createDataFrame(asked, "sample_no bigint, question string, gold_choice string, language string").write.parquet(str(tmp_path / "mcq_samples.parquet"))
+    assert rows(reference.QUERIES["q_text_labels_all"](spark, str(tmp_path))) == [
+        (1, "who sang at 5 30", "B", "english"), (2, "où est l école là-bas", "A", "french"), (3, "кто поёт", "C", "russian"), (4, "誰が歌う 二回", "D", None), (5, "누가 노래해", None, None), (6, None, "A", "greek"), (7, "", "A", "greek"),
+    ]
