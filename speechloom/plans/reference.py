@@ -5,7 +5,7 @@ The tables hold no model output, so predictions are made by arithmetic on row nu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechloom.functions import text as tx
@@ -544,12 +544,21 @@ def q_set_duplicates(spark, sf):
     return table(spark, sf, "mcq_samples").agg(n.alias("rows"), d.alias("different"), (n > d).alias("repeated"))
 
 
+def _mixed_union(rows: DataFrame, copied: Column) -> DataFrame:
+    copies = rows.where(~F.lower(F.trim("language")).startswith("en") & copied)
+    return rows.select("sample_no", "question", F.lit("original").alias("version")).unionByName(copies.select("sample_no", F.upper("question").alias("question"), F.lit("copy").alias("version")))
+
+
 @query("""SELECT sample_no, question, 'original' AS version FROM mcq_samples UNION ALL
 SELECT sample_no, upper(question), 'copy' FROM mcq_samples WHERE lower(trim(language)) NOT LIKE 'en%' AND regexp_matches(question, '^[ -~]*$')""")
 def q_set_mixed_union(spark, sf):
-    rows = table(spark, sf, "mcq_samples")
-    copies = rows.where(~F.lower(F.trim("language")).startswith("en") & F.col("question").rlike("^[ -~]*$"))
-    return rows.select("sample_no", "question", F.lit("original").alias("version")).unionByName(copies.select("sample_no", F.upper("question").alias("question"), F.lit("copy").alias("version")))
+    return _mixed_union(table(spark, sf, "mcq_samples"), F.col("question").rlike("^[ -~]*$"))
+
+
+@query()
+def q_set_mixed_union_all(spark, sf):
+    """Copies of all non-English questions, null ones too; the SQL of q_set_mixed_union copies printable ASCII alone."""
+    return _mixed_union(table(spark, sf, "mcq_samples"), F.lit(True))
 
 
 @query("""SELECT language, utt_id FROM (SELECT language, utt_id, row_number() OVER (PARTITION BY language ORDER BY md5('9|' || utt_id), utt_id, ingested_at) AS r FROM segments)

@@ -156,3 +156,11 @@ def test_labels_of_any_script(spark, rows, tmp_path):
     assert rows(reference.QUERIES["q_text_labels_all"](spark, str(tmp_path))) == [
         (1, "who sang at 5 30", "B", "english"), (2, "où est l école là-bas", "A", "french"), (3, "кто поёт", "C", "russian"), (4, "誰が歌う 二回", "D", None), (5, "누가 노래해", None, None), (6, None, "A", "greek"), (7, "", "A", "greek"),
     ]
+
+
+def test_copies_of_any_script(spark, rows, tmp_path):
+    asked = [(1, "Who sings?", "english"), (2, "Où est l'école?", " French "), (3, "Кто поёт?", "russian"), (4, "誰が歌う？", "japanese"), (5, "Straße", "german"), (6, None, "greek"), (7, "x", " English (island)"), (8, "who?", None)]
+    spark.createDataFrame(asked, "sample_no bigint, question string, language string").write.parquet(str(tmp_path / "mcq_samples.parquet"))
+    out = rows(reference.QUERIES["q_set_mixed_union_all"](spark, str(tmp_path)))
+    assert [r for r in out if r[2] == "original"] == [(i, q, "original") for i, q, _ in asked]
+    assert [r[:2] for r in out if r[2] == "copy"] == [(2, "OÙ EST L'ÉCOLE?"), (3, "КТО ПОЁТ?"), (4, "誰が歌う？"), (5, "STRASSE"), (6, None)]
