@@ -7,7 +7,7 @@ in such pairs, in links, tags and product lines is its spam share. Ordinary docu
 much repetition, then, in a second round, those with a small spam share.
 
 Counts cover all documents. Common pairs and words, whose number is bounded by the inverse of their least share,
-are looked up in a broadcast table; questions about all other pairs are answered by a join on the pair.
+are looked up in a broadcast table; questions about all other pairs and words are answered by joins on them.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ def _round(parsed: DataFrame, limit: float) -> DataFrame:
     shared = spark.sparkContext.broadcast((table["key"].to_numpy(), table["count"].to_numpy(float), table["held"].to_numpy(float)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bad common pairs of each document, and its other pairs that may be bad."""
+        """Pairs of each document that are surely bad, and those that may be, with what is known of them and of their words."""
         keys, count, held = shared.value
 
         def find(x):
@@ -169,20 +169,28 @@ def _round(parsed: DataFrame, limit: float) -> DataFrame:
             n, mass = np.asarray(b.column(2)), np.asarray(b.column(3))
             doc, pair, v, _, _ = pairs_of(words, ends)
             own = np.where((mass < limit) & (n >= LEAST_WORDS), 1, 0)[doc] * v
-            # words below the least share count as just below it
-            first, second = find(-(pair >> 32))[1], find(-(pair & 0xFFFFFFFF))[1]
-            expected = np.maximum(first, 1) * np.maximum(second, 1) / all_words
+            # between the least and the most that words below the least share can count; what is bad stays so as more is expected
+            (has1, first, _), (has2, second, _) = find(-(pair >> 32)), find(-(pair & 0xFFFFFFFF))
+            low = np.where(has1, first, 1) * np.where(has2, second, 1) / all_words
+            high = np.where(has1, first, least_word) * np.where(has2, second, least_word) / all_words
             known, c, h = find(pair)
-            bad = known & _bad(v, n[doc], own, c, h, expected)
             # a rare pair is surely incoherent above the least count of common ones, and cannot be bad if seen once and unexpected
-            sure = ~known & (expected > least_pair) & ((expected > 1) | (v >= 2))
-            open_ = ~known & ~sure & ((v >= 2) | (expected > 1))
-            for at, is_bad in ((np.flatnonzero(bad | sure), True), (np.flatnonzero(open_), False)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column(0))[doc[at]]), pa.array(pair[at]), pa.array(v[at].astype(np.int64)), pa.array(n[doc[at]]), pa.array(own[at].astype(np.int64)), pa.array(expected[at]), pa.array(np.full(len(at), is_bad))], ["doc_id", "pair", "v", "n", "own", "expected", "bad"])
-
-    asked = cut(parsed.select("doc_id", "words", "n", "mass").mapInArrow(ask, "doc_id bigint, pair bigint, v bigint, n bigint, own bigint, expected double, bad boolean"))
-    rare = counts.where((F.col("key") > 0) & (F.col("count") < least_pair)).withColumnRenamed("key", "pair")
-    answered = asked.where("not bad").join(rare, "pair", "left").fillna(0, ["count", "held"])
+            bad = np.where(known, _bad(v, n[doc], own, c, h, low), (low > least_pair) & ((low > 1) | (v >= 2)))
+            open_ = ~bad & np.where(known, _bad(v, n[doc], own, c, h, high), (v >= 2) | (high > 1))
+            for at, is_bad in ((np.flatnonzero(bad), True), (np.flatnonzero(open_), False)):
+                counted = [pa.array(x[at].astype(np.int64), mask=~has[at]) for x, has in ((first, has1), (second, has2), (c, known), (h, known))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column(0))[doc[at]]), pa.array(pair[at]), pa.array(v[at].astype(np.int64)), pa.array(n[doc[at]]), pa.array(own[at].astype(np.int64)), *counted, pa.array(np.full(len(at), is_bad))], ["doc_id", "pair", "v", "n", "own", "first", "second", "count", "held", "bad"])
+
+    asked = cut(parsed.select("doc_id", "words", "n", "mass").mapInArrow(ask, "doc_id bigint, pair bigint, v bigint, n bigint, own bigint, first bigint, second bigint, count bigint, held bigint, bad boolean"))
+    open_ = asked.where("not bad")
+    rare = counts.where((F.col("key") > 0) & (F.col("count") < least_pair)).select(F.col("key").alias("pair"), F.col("count").alias("rare_count"), F.col("held").alias("rare_held"))
+    rare_words = counts.where((F.col("key") < 0) & (F.col("count") < least_word)).select((-F.col("key")).alias("word"), F.col("count").alias("said"))
+    sides = F.array(F.struct(F.lit(1).alias("side"), F.when(F.col("first").isNull(), F.shiftright("pair", 32)).alias("word")), F.struct(F.lit(2).alias("side"), F.when(F.col("second").isNull(), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))).alias("word")))
+    sought = open_.where("first is null or second is null").select("pair", "first", "second").distinct().select("pair", F.inline(sides)).where("word is not null")
+    said = sought.join(rare_words, "word").groupBy("pair").agg(*(F.max(F.when(F.col("side") == k, F.col("said"))).alias(f"said_{k}") for k in (1, 2)))
+    # words that no ordinary document holds count once
+    one, two = F.coalesce("first", "said_1", F.lit(1)), F.coalesce("second", "said_2", F.lit(1))
+    answered = open_.join(rare, "pair", "left").join(said, "pair", "left").withColumns({"count": F.coalesce("count", "rare_count", F.lit(0)), "held": F.coalesce("held", "rare_held", F.lit(0)), "expected": one.cast("double") * two / F.lit(float(all_words))})
     dense = (F.col("v") >= 3) & (F.col("v") > F.lit(3) * F.coalesce(F.try_divide("count", "held"), F.lit(0.0)) * F.col("n") + 1)
     odd = (F.col("count") - F.col("own") < F.col("expected")) & ((F.col("expected") > 1) | (F.col("v") >= 2))
     found = asked.where("bad").select("doc_id", "pair").unionByName(answered.where(dense | odd).select("doc_id", "pair"))

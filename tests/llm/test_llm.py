@@ -219,3 +219,22 @@ def test_spam_pages(spark):
     found = {k for k, v in shares.items() if v >= spam.THRESHOLD}
     assert found == {1000 + i for i in range(len(bad))}
     assert spam.spam_shares(frame.limit(0)).count() == 0
+
+
+def test_rare_words_are_counted(spark, monkeypatch):
+    # the word 'echo' is rarer than the least share, yet expected beside 'the' more than once
+    rng = random.Random(8)
+    said = [f"the singer{x} hums{x}" for x in "abcdefghijklmnopqrst"]
+    good = [" ".join(rng.choice(said) for _ in range(9)) + "." + (" some echo." if i % 4 == 0 else "") for i in range(400)]
+    odd = " ".join(["the echo", *said[:3]])
+    docs = [*enumerate(good), (1000, odd)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+
+    def shares(word_share, pair_share):
+        monkeypatch.setattr(spam, "WORD_SHARE", word_share)
+        monkeypatch.setattr(spam, "PAIR_SHARE", pair_share)
+        return {r.doc_id: r.spam_share for r in spam.spam_shares(frame).collect()}
+
+    whole = shares(0.0, 0.0)
+    assert whole[1000] == round(3 / 11, 6)
+    assert shares(0.02, 0.0) == shares(0.02, 0.001) == shares(0.5, 0.5) == whole
