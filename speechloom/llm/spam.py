@@ -6,6 +6,10 @@ document holds it far more densely than the ordinary documents that hold it at a
 in such pairs, in links, tags and product lines is its spam share. Ordinary documents are first those without
 much repetition, then, in a second round, those with a small spam share.
 
+Counts are of different sentences, so that an utterance said again is no collocation. A sentence said REPEATED times
+or more counts with all its copies if most of it is incoherent, where an incoherent pair need not be in two different
+sentences; ordinary utterances are coherent however often they are said, and count once.
+
 Counts cover all documents. Common pairs and words, whose number is bounded by the inverse of their least share,
 are looked up in a broadcast table; questions about all other pairs and words are answered by joins on them.
 """
@@ -31,6 +35,10 @@ THRESHOLD, ORDINARY = 0.38, (0.15, 0.12)
 #: A link or tag counts as so many words.
 LINK_WORDS = 3
 LEAST_WORDS = 8
+#: Occurrences, with those in copies of a sentence, from which a pair is repeated.
+REPEATED = 3
+#: Share of a repeated sentence's words in incoherent pairs from which all its copies count.
+MOSTLY = 0.5
 
 _url = re.compile(r"(?:https?://|www\.)[^\s\"'<>]+", re.I)
 _anchor = re.compile(r"<a\s[^>]*>(.*?)</a>", re.I | re.S)
@@ -48,8 +56,8 @@ def is_product_line(line: str) -> bool:
     return len(_field.findall(line)) >= 3 and bool(_price.search(line)) and not line.rstrip().endswith((".", "!", "?", "。"))
 
 
-def parse(text: str) -> tuple[list[list[str]], int]:
-    """The different sentences of a text as words, and the words that links, tags and product lines count for."""
+def parse(text: str) -> tuple[list[list[str]], list[int], int]:
+    """The different sentences of a text as words, the copies of each, and the words that links, tags and product lines count for."""
     anchors = _anchor.findall(text)
     text = _anchor.sub(" ", text)
     links = len(_url.findall(text))
@@ -63,21 +71,25 @@ def parse(text: str) -> tuple[list[list[str]], int]:
             other += len(_word.findall(line))
         else:
             kept.append(line)
-    units, seen = [], set()
+    units: list[list[str]] = []
+    copies: list[int] = []
+    seen: dict[tuple, int] = {}
     for sentence in _end.split("\n".join(kept)):
         words: list[str] = []
         for w in _word.findall(_dense.sub(r" \1 ", sentence.lower())):
             # fillers said over and over in speech count once
             if not w.isdigit() and not (words and words[-1] == w and len(w) <= 4):
                 words.append(w)
-        if words and not (len(words) >= 4 and tuple(words) in seen):
-            seen.add(tuple(words))
+        if len(words) >= 4 and (k := seen.setdefault(tuple(words), len(units))) < len(units):
+            copies[k] += 1
+        elif words:
             units.append(words)
-    return units, other
+            copies.append(1)
+    return units, copies, other
 
 
 def parsed_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, words, n, other, mass): 32-bit word hashes with 0 between sentences, and a first spam share."""
+    """(doc_id, words, copies, n, other, mass): 32-bit word hashes with 0 after each sentence, copies of each, words of the different ones, and a first spam share."""
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,12 +97,15 @@ def parsed_documents(documents: DataFrame) -> DataFrame:
         for b in batches:
             flat: list[str] = []
             ends, sizes, others = [0], [], []
+            times, bounds = [], [0]
             for x in b.column(1).to_pylist():
-                units, other = parse("\n".join(canonical_text(line, lattice) for line in x.split("\n")) if x else "")
+                units, copies, other = parse("\n".join(canonical_text(line, lattice) for line in x.split("\n")) if x else "")
                 for u in units:
                     flat += u
                     flat.append("")
                 ends.append(len(flat))
+                times += copies
+                bounds.append(len(times))
                 sizes.append(sum(map(len, units)))
                 others.append(other)
             coded = pa.array(flat, pa.string()).dictionary_encode()
@@ -99,12 +114,19 @@ def parsed_documents(documents: DataFrame) -> DataFrame:
             hashed = np.where(names == "", 0, hashed).astype(np.int32)
             words = hashed[np.asarray(coded.indices)] if len(flat) else np.empty(0, np.int32)
             ends, n, other = np.array(ends), np.array(sizes, np.int64), np.array(others, np.int64)
-            doc, pair, v, _, _ = pairs_of(words, ends)
-            total, often = np.bincount(doc, v, len(n)), np.bincount(doc, v * (v >= 4), len(n))
+            times = np.array(times, np.int32)
+            doc, _, v, at, row = pairs_of(words, ends)
+            w = np.bincount(row, times[_units(words)[at]], len(v))
+            total, often = np.bincount(doc, w, len(n)), np.bincount(doc, w * (w >= 4), len(n))
             mass = np.where(other * 10 < n, often / np.maximum(total, 1) - 0.2, 1.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words)), pa.array(n), pa.array(other), pa.array(mass)], ["doc_id", "words", "n", "other", "mass"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words)), pa.ListArray.from_arrays(pa.array(np.array(bounds, np.int32)), pa.array(times)), pa.array(n), pa.array(other), pa.array(mass)], ["doc_id", "words", "copies", "n", "other", "mass"])
+
+    return rows.mapInArrow(run, "doc_id bigint, words array<int>, copies array<int>, n bigint, other bigint, mass double")
 
-    return rows.mapInArrow(run, "doc_id bigint, words array<int>, n bigint, other bigint, mass double")
+
+def _units(words: np.ndarray) -> np.ndarray:
+    """The number of each word's sentence in the batch."""
+    return np.cumsum(words == 0) - (words == 0)
 
 
 def pairs_of(words: np.ndarray, ends: np.ndarray):
@@ -138,10 +160,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[keys, -single]), pa.array(np.r_[np.bincount(at, v, len(keys)).astype(np.int64), count]), pa.array(np.r_[np.bincount(at, n[doc], len(keys)).astype(np.int64), np.zeros(len(single), np.int64)])], ["key", "count", "held"])
 
 
-def _bad(v, n, own, count, held, expected):
-    """Excessively repeated or incoherent."""
+def _bad(v, w, n, own, count, held, expected):
+    """Excessively repeated or incoherent in the different sentences; incoherent with their copies."""
     rate = np.divide(count, held, out=np.zeros(len(v)), where=held > 0)
-    return ((v >= 3) & (v > 3 * rate * n + 1)) | ((count - own < expected) & ((expected > 1) | (v >= 2)))
+    dense, odd = (v >= 3) & (v > 3 * rate * n + 1), count - own < expected
+    return dense | odd & ((expected > 1) | (v >= 2)), odd & ((expected > 1) | (v >= 2) | (w >= REPEATED))
 
 
 def _round(parsed: DataFrame, limit: float) -> DataFrame:
@@ -167,22 +190,26 @@ def _round(parsed: DataFrame, limit: float) -> DataFrame:
         for b in batches:
             words, ends = _lists(b.column(1))
             n, mass = np.asarray(b.column(2)), np.asarray(b.column(3))
-            doc, pair, v, _, _ = pairs_of(words, ends)
+            doc, pair, v, at, row = pairs_of(words, ends)
+            w = np.bincount(row, _lists(b.column(4))[0][_units(words)[at]], len(v)).astype(np.int64)
             own = np.where((mass < limit) & (n >= LEAST_WORDS), 1, 0)[doc] * v
             # between the least and the most that words below the least share can count; what is bad stays so as more is expected
             (has1, first, _), (has2, second, _) = find(-(pair >> 32)), find(-(pair & 0xFFFFFFFF))
             low = np.where(has1, first, 1) * np.where(has2, second, 1) / all_words
             high = np.where(has1, first, least_word) * np.where(has2, second, least_word) / all_words
             known, c, h = find(pair)
-            # a rare pair is surely incoherent above the least count of common ones, and cannot be bad if seen once and unexpected
-            bad = np.where(known, _bad(v, n[doc], own, c, h, low), (low > least_pair) & ((low > 1) | (v >= 2)))
-            open_ = ~bad & np.where(known, _bad(v, n[doc], own, c, h, high), (v >= 2) | (high > 1))
-            for at, is_bad in ((np.flatnonzero(bad), True), (np.flatnonzero(open_), False)):
+            # a rare pair is surely incoherent above the least count of common ones, and cannot be bad if seldom seen and unexpected
+            least, most = _bad(v, w, n[doc], own, c, h, low), _bad(v, w, n[doc], own, c, h, high)
+            twice, often = v >= 2, (v >= 2) | (w >= REPEATED)
+            bad, odd = (np.where(known, x, (low > least_pair) & ((low > 1) | y)) for x, y in zip(least, (twice, often)))
+            may, may_odd = (np.where(known, x, y | (high > 1)) for x, y in zip(most, (twice, often)))
+            open_ = (may & ~bad) | (may_odd & ~odd)
+            for at, is_open in ((np.flatnonzero((bad | odd) & ~open_), False), (np.flatnonzero(open_), True)):
                 counted = [pa.array(x[at].astype(np.int64), mask=~has[at]) for x, has in ((first, has1), (second, has2), (c, known), (h, known))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column(0))[doc[at]]), pa.array(pair[at]), pa.array(v[at].astype(np.int64)), pa.array(n[doc[at]]), pa.array(own[at].astype(np.int64)), *counted, pa.array(np.full(len(at), is_bad))], ["doc_id", "pair", "v", "n", "own", "first", "second", "count", "held", "bad"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column(0))[doc[at]]), pa.array(pair[at]), pa.array(v[at].astype(np.int64)), pa.array(w[at]), pa.array(n[doc[at]]), pa.array(own[at].astype(np.int64)), *counted, pa.array(bad[at]), pa.array(odd[at]), pa.array(np.full(len(at), is_open))], ["doc_id", "pair", "v", "w", "n", "own", "first", "second", "count", "held", "bad", "odd", "open"])
 
-    asked = cut(parsed.select("doc_id", "words", "n", "mass").mapInArrow(ask, "doc_id bigint, pair bigint, v bigint, n bigint, own bigint, first bigint, second bigint, count bigint, held bigint, bad boolean"))
-    open_ = asked.where("not bad")
+    asked = cut(parsed.select("doc_id", "words", "n", "mass", "copies").mapInArrow(ask, "doc_id bigint, pair bigint, v bigint, w bigint, n bigint, own bigint, first bigint, second bigint, count bigint, held bigint, bad boolean, odd boolean, open boolean"))
+    open_ = asked.where("open")
     rare = counts.where((F.col("key") > 0) & (F.col("count") < least_pair)).select(F.col("key").alias("pair"), F.col("count").alias("rare_count"), F.col("held").alias("rare_held"))
     rare_words = counts.where((F.col("key") < 0) & (F.col("count") < least_word)).select((-F.col("key")).alias("word"), F.col("count").alias("said"))
     sides = F.array(F.struct(F.lit(1).alias("side"), F.when(F.col("first").isNull(), F.shiftright("pair", 32)).alias("word")), F.struct(F.lit(2).alias("side"), F.when(F.col("second").isNull(), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))).alias("word")))
@@ -192,31 +219,44 @@ def _round(parsed: DataFrame, limit: float) -> DataFrame:
     one, two = F.coalesce("first", "said_1", F.lit(1)), F.coalesce("second", "said_2", F.lit(1))
     answered = open_.join(rare, "pair", "left").join(said, "pair", "left").withColumns({"count": F.coalesce("count", "rare_count", F.lit(0)), "held": F.coalesce("held", "rare_held", F.lit(0)), "expected": one.cast("double") * two / F.lit(float(all_words))})
     dense = (F.col("v") >= 3) & (F.col("v") > F.lit(3) * F.coalesce(F.try_divide("count", "held"), F.lit(0.0)) * F.col("n") + 1)
-    odd = (F.col("count") - F.col("own") < F.col("expected")) & ((F.col("expected") > 1) | (F.col("v") >= 2))
-    found = asked.where("bad").select("doc_id", "pair").unionByName(answered.where(dense | odd).select("doc_id", "pair"))
-    flagged = found.groupBy("doc_id").agg(F.collect_set("pair").alias("pairs"))
+    odd = F.col("count") - F.col("own") < F.col("expected")
+    strict = (F.col("expected") > 1) | (F.col("v") >= 2)
+    answers = answered.select("doc_id", "pair", (dense | odd & strict).alias("bad"), (odd & (strict | (F.col("w") >= REPEATED))).alias("odd"))
+    found = asked.where("not open").select("doc_id", "pair", "bad", "odd").unionByName(answers.where("bad or odd"))
+    flagged = found.groupBy("doc_id").agg(*(F.collect_set(F.when(F.col(c), F.col("pair"))).alias(f"{c}_pairs") for c in ("bad", "odd")))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, ends = _lists(b.column(1))
-            n, other = np.asarray(b.column(2)), np.asarray(b.column(3))
+            copies, parts = _lists(b.column(2))
+            n, other = np.asarray(b.column(3)), np.asarray(b.column(4))
             doc, pair, _, at, row = pairs_of(words, ends)
-            mark = np.zeros(len(words), bool)
-            bad_pairs, bounds = _lists(b.column(4))
             # pairs of one text are in order of the text and the pair: look both up together
             key = np.stack([doc, pair]) if len(doc) else np.empty((2, 0), np.int64)
-            asked_doc = np.repeat(np.arange(len(n)), np.diff(bounds))
-            mine = pd.MultiIndex.from_arrays(key).isin(pd.MultiIndex.from_arrays([asked_doc, bad_pairs])) if len(doc) and len(bad_pairs) else np.zeros(len(doc), bool)
-            hit = at[mine[row]] if len(at) else at
-            mark[hit] = True
-            mark[hit + 1] = True
-            covered = np.bincount(np.searchsorted(ends, np.flatnonzero(mark), side="right") - 1, minlength=len(n))
-            size = n + other
-            mass = np.where(size >= LEAST_WORDS, (covered + other) / np.maximum(size, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(mass)], ["doc_id", "words", "n", "other", "mass"])
-
-    joined = parsed.drop("mass").join(flagged, "doc_id", "left").withColumn("pairs", F.coalesce("pairs", F.array().cast("array<bigint>")))
-    return joined.mapInArrow(weigh, "doc_id bigint, words array<int>, n bigint, other bigint, mass double")
+
+            def marked(column):
+                mark = np.zeros(len(words), bool)
+                bad_pairs, bounds = _lists(column)
+                asked_doc = np.repeat(np.arange(len(n)), np.diff(bounds))
+                mine = pd.MultiIndex.from_arrays(key).isin(pd.MultiIndex.from_arrays([asked_doc, bad_pairs])) if len(doc) and len(bad_pairs) else np.zeros(len(doc), bool)
+                hit = at[mine[row]] if len(at) else at
+                mark[hit] = True
+                mark[hit + 1] = True
+                return mark
+
+            bad, odd = marked(b.column(5)), marked(b.column(6))
+            unit = _units(words)
+            length, some, incoherent, either = (np.bincount(unit[x], minlength=len(copies)) for x in (words != 0, bad, odd, bad | odd))
+            keywords = (copies >= REPEATED) & (incoherent >= MOSTLY * length)
+            times = np.where(keywords, copies, 1)
+            covered = np.where(keywords, either, some) * times
+            text = np.repeat(np.arange(len(n)), np.diff(parts))
+            size = np.bincount(text, length * times, len(n)) + other
+            mass = np.where(size >= LEAST_WORDS, (np.bincount(text, covered, len(n)) + other) / np.maximum(size, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(mass)], ["doc_id", "words", "copies", "n", "other", "mass"])
+
+    joined = parsed.drop("mass").join(flagged, "doc_id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<bigint>")) for c in ("bad_pairs", "odd_pairs")})
+    return joined.mapInArrow(weigh, "doc_id bigint, words array<int>, copies array<int>, n bigint, other bigint, mass double")
 
 
 def spam_shares(documents: DataFrame) -> DataFrame:

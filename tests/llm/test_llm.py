@@ -238,3 +238,17 @@ def test_rare_words_are_counted(spark, monkeypatch):
     whole = shares(0.0, 0.0)
     assert whole[1000] == round(3 / 11, 6)
     assert shares(0.02, 0.0) == shares(0.02, 0.001) == shares(0.5, 0.5) == whole
+
+
+def test_copies_of_keyword_lines(spark):
+    rng = random.Random(9)
+    who, what, when = ["the nurse", "my cousin", "the choir", "our neighbour"], ["hides the red candles", "draws a map", "cleans the bridge", "orders two tickets"], ["before lunch", "at night", "every morning", "on thursday evening"]
+    said = lambda: f"{rng.choice(who)} {rng.choice(what)} {rng.choice(when)}."
+    good = [" ".join(said() for _ in range(8)) for _ in range(300)]
+    line = "cheap microphone best microphone buy microphone online microphone store"
+    bad = ["mic deals mic deals\n" * 200, f"{line}\n" * 200, f"{line}. " * 90, said() + "\n" + "lamp shop lamp deals\n" * 50]
+    fine = [f"{said()} " * 40, "\n".join([*good[0].split(". "), *["our neighbour draws a map at night"] * 30]), good[1] + "\n" + "Velor asks whether Zilasa sings\n" * 4]
+    docs = [*enumerate(good), *enumerate(bad, 1000), *enumerate(fine, 2000)]
+    shares = {r.doc_id: r.spam_share for r in spam.spam_shares(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert {k for k, v in shares.items() if v >= spam.THRESHOLD} == {1000, 1001, 1002, 1003}
+    assert shares[1000] == shares[1001] == 1
