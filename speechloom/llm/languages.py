@@ -252,13 +252,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _judge(model: Broadcast):
-    """Rows (kind, key, text, label_code, address_code, host priors) to stretches."""
+    """Rows (kind, key, text, label_code, address_code, host rates of the model's codes) to stretches."""
     names = ["record_kind", "record_key", "label_code", "stretch", "first_word", "words", "letters", "text_letters", "language", "confidence", "mixed"]
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, lattice = Model(*model.value), Lattice()
-        places = {c: i for i, c in enumerate(m.codes)}
         codes = np.array(m.codes, dtype=object)
         for b in batches:
             if not b.num_rows:
@@ -266,14 +265,8 @@ def _judge(model: Broadcast):
             prior = np.zeros((b.num_rows, len(m.codes)))
             _add(prior, b.column(3), m.codes, LABEL_WEIGHT)
             _add(prior, b.column(4), m.codes, ADDRESS_WEIGHT)
-            hosts = b.column(5).fill_null([]) if b.column(5).null_count else b.column(5)
-            flat, ends = hosts.flatten(), np.r_[0, np.cumsum(np.asarray(pa.compute.list_value_length(hosts)))]
-            named = flat.field("code").dictionary_encode()
-            at = np.array([places.get(c, -1) for c in named.dictionary.to_pylist()], np.int64)[np.asarray(named.indices)] if len(flat) else np.empty(0, np.int64)
-            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
-            rate = np.maximum(np.asarray(flat.field("rate")), 0.01) if len(flat) else np.empty(0)
-            use = at >= 0
-            np.add.at(prior, (row[use], at[use]), HOST_WEIGHT * np.log(rate[use] / 0.01) / math.log(100))
+            rate = np.asarray(b.column(5).flatten()).reshape(b.num_rows, len(m.codes))
+            prior += HOST_WEIGHT * np.log(np.maximum(rate, 0.01) / 0.01) / math.log(100)
 
             length, letters, score, changed = analyse(b.column(2).to_pylist(), m, lattice)
             mixed, out = [], []
@@ -320,6 +313,30 @@ def language_rows(segments: DataFrame, samples: DataFrame, codes: DataFrame) ->
     return both.join(named.withColumnsRenamed({"label": "address", "label_code": "address_code"}), "address", "left")
 
 
+def host_rates(rows: DataFrame, codes: list[str]) -> DataFrame:
+    """(session, address, rates) of every session at an address, with or without labels: the rate of each code in order.
+
+    The labels of a session, smoothed by those of its address, and these by the whole corpus. A null session has no
+    labels of its own, nor has a null address.
+    """
+    labels = cut(rows.where("label_code is not null").groupBy("session", "address", "label_code").agg(F.count("*").alias("n")))
+    # at most as many as the fixed table has codes
+    base = {r.label_code: r.n for r in labels.groupBy("label_code").agg(F.sum("n").alias("n")).collect()}
+    every = max(1, sum(base.values()))
+
+    def counted(keys: list[str], name: str) -> DataFrame:
+        by_code = labels.where(F.col(keys[0]).isNotNull()).groupBy(*keys, "label_code").agg(F.sum("n").alias("n"))
+        return by_code.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("label_code", "n"))).alias(name), F.sum("n").alias(f"{name}_n"))
+
+    by_session = counted(["session", "address"], "s").withColumnsRenamed({"session": "own_session", "address": "own_address"})
+    hosts = rows.select("session", "address").distinct()
+    hosts = hosts.join(by_session, (F.col("session") == F.col("own_session")) & F.col("address").eqNullSafe(F.col("own_address")), "left").join(counted(["address"], "a"), "address", "left")
+    of = lambda name, code: F.coalesce(F.try_element_at(name, F.lit(code)), F.lit(0))
+    size = lambda name: F.coalesce(f"{name}_n", F.lit(0))
+    middle = lambda code: (of("a", code) + F.lit(10 * base.get(code, 0) / every)) / (size("a") + 10)
+    return hosts.select("session", "address", F.array(*((of("s", c) + 5 * middle(c)) / (size("s") + 5) for c in codes)).alias("rates"))
+
+
 def text_languages(rows: DataFrame) -> DataFrame:
     """Stretches of every record of language_rows, with language and confidence.
 
@@ -335,22 +352,10 @@ def text_languages(rows: DataFrame) -> DataFrame:
         return spark.createDataFrame([], STRETCHES)
     # its parts, since a broadcast is pickled by reference to the package
     shared = spark.sparkContext.broadcast((model.codes, model.words, model.grams, model.scripts))
-    # host prior: the labels of a session, smoothed by those of its address, and these by the whole corpus
-    labels = rows.where("label_code is not null").groupBy("session", "address", "label_code").agg(F.count("*").alias("n"))
-    labels = cut(labels)
-    total = labels.agg(F.sum("n").alias("all"))
-    whole = labels.groupBy("label_code").agg(F.sum("n").alias("n")).join(F.broadcast(total)).select("label_code", (F.col("n") / F.col("all")).alias("base"))
-    by_address = labels.groupBy("address", "label_code").agg(F.sum("n").alias("a"))
-    size = by_address.groupBy("address").agg(F.sum("a").alias("address_n"))
-    by_address = by_address.join(whole, "label_code").join(size, "address").select("address", "label_code", ((F.col("a") + 10 * F.col("base")) / (F.col("address_n") + 10)).alias("middle"))
-    by_session = labels.groupBy("session", "address", "label_code").agg(F.sum("n").alias("s"))
-    sessions = by_session.groupBy("session", "address").agg(F.sum("s").alias("session_n"))
-    prior = by_session.join(sessions, ["session", "address"]).join(by_address, ["address", "label_code"])
-    prior = prior.select("session", "address", "label_code", ((F.col("s") + 5 * F.col("middle")) / (F.col("session_n") + 5)).alias("rate"))
-    prior = prior.groupBy("session", "address").agg(F.collect_list(F.struct("label_code", "rate")).alias("host"))
-    joined = rows.join(prior, ["session", "address"], "left")
-    host = F.transform("host", lambda x: F.struct(x["label_code"].alias("code"), x["rate"].alias("rate")))
-    ready = joined.select("record_kind", "record_key", "text", "label_code", "address_code", host.alias("host"))
+    host = ["session", "address"]
+    rates = host_rates(rows, model.codes)
+    joined = rows.join(rates.withColumnsRenamed({c: f"host_{c}" for c in host}), [F.col(c).eqNullSafe(F.col(f"host_{c}")) for c in host], "left")
+    ready = joined.select("record_kind", "record_key", "text", "label_code", "address_code", "rates")
 
     return ready.mapInArrow(_judge(shared), STRETCHES)
 

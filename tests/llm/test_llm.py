@@ -252,3 +252,18 @@ def test_copies_of_keyword_lines(spark):
     shares = {r.doc_id: r.spam_share for r in spam.spam_shares(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert {k for k, v in shares.items() if v >= spam.THRESHOLD} == {1000, 1001, 1002, 1003}
     assert shares[1000] == shares[1001] == 1
+
+
+def test_host_rates_of_every_session(spark):
+    # the address x has 19 of 20 labels b; session s1 there one label a, s2 none; address y has no label
+    labelled = [("s0", "x", "b")] * 19 + [("s1", "x", "a"), ("s2", "x", None), ("s3", "y", None), (None, "x", None), (None, None, None), ("s4", None, "a"), ("s4", None, None)]
+    rows = spark.createDataFrame(labelled, "session string, address string, label_code string")
+    got = {(r.session, r.address): list(r.rates) for r in languages.host_rates(rows, ["a", "b", "c"]).collect()}
+    base = {"a": 2 / 21, "b": 19 / 21, "c": 0}
+    at_x = {"a": (1 + 10 * base["a"]) / 30, "b": (19 + 10 * base["b"]) / 30, "c": 0}
+    smooth = lambda s, n, over: pytest.approx([(s.get(c, 0) + 5 * over[c]) / (n + 5) for c in "abc"])
+    assert len(got) == 7
+    assert got["s0", "x"] == smooth({"b": 19}, 19, at_x) and got["s1", "x"] == smooth({"a": 1}, 1, at_x)
+    assert got["s2", "x"] == got[None, "x"] == smooth({}, 0, at_x)
+    assert got["s3", "y"] == got[None, None] == smooth({}, 0, base)
+    assert got["s4", None] == smooth({"a": 1}, 1, base)
