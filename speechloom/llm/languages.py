@@ -60,7 +60,7 @@ def ngrams(word: str) -> list[int]:
     """Buckets of the word's letter n-grams of two to four."""
     import zlib
 
-    padded = f"<{word[:40]}>"
+    padded = f"<{word}>"
     return [zlib.crc32(padded[i : i + n].encode()) % BUCKETS for n in (2, 3, 4) for i in range(len(padded) - n + 1)]
 
 
@@ -100,7 +100,8 @@ class Model:
             if kind != "none":
                 own = self.words.get(w)
                 if own is None and w:
-                    own = self.grams[ngrams(w)].sum(axis=0) * 0.3
+                    # long unbroken runs by how often they have each bucket, in bounded memory
+                    own = (self.grams[ngrams(w)].sum(axis=0) if len(w) < BUCKETS // 3 else np.bincount(ngrams(w), minlength=BUCKETS) @ self.grams) * 0.3
                     own = np.maximum(own - own.max(), -NGRAM_SPAN)
                 score = score + own
             self.known[w] = (score.astype(np.float32), sum(x.isalpha() for x in w), kind in _UNSPACED)

@@ -267,3 +267,11 @@ def test_host_rates_of_every_session(spark):
     assert got["s2", "x"] == got[None, "x"] == smooth({}, 0, at_x)
     assert got["s3", "y"] == got[None, None] == smooth({}, 0, base)
     assert got["s4", None] == smooth({"a": 1}, 1, base)
+
+
+def test_ngrams_of_long_runs():
+    grams = np.zeros((languages.BUCKETS, 2), np.float32)
+    grams[languages.ngrams("zation")] = [0, -1]
+    model = languages.Model(["en", "fr"], {}, grams, {})
+    told = {k: model.word("q" * k + "zation")[0].tolist() for k in (5, 60, 6000)}
+    assert told[5] == told[60] == told[6000] == [0, -3]
