@@ -208,8 +208,8 @@ def test_spam_pages(spark):
     rng = random.Random(7)
     who, what, when = ["the nurse", "my cousin", "the choir", "our neighbour"], ["hides the red candles", "draws a map", "cleans the bridge", "orders two tickets"], ["before lunch", "at night", "every morning", "on Thursday evening"]
     said = lambda: f"{rng.choice(who)} {rng.choice(what)} {rng.choice(when)}."
-    good = [" ".join(said() for _ in range(8)) for _ in range(300)]
-    bad = ["cheap phone cheap phone " * 20, "\n".join(f"https://shop{i}.example/p/{i}" for i in range(15)), " ".join(f"#red_candles{i}" for i in range(20)), "\n".join(f"phone XL - SKU {i} - 19.90 - in stock" for i in range(9)),
+    good = [" ".join(said() for _ in range(8)) + ("\nAna: " + "no " * (3 + i % 4) if i % 5 == 0 else "") for i in range(300)]
+    bad = ["cheap phone cheap phone " * 20, "buy " * 200, "buy buy buy buy buy\nbuy buy buy buy", "cheap shoes online store\n" * 80, "\n".join(f"https://shop{i}.example/p/{i}" for i in range(15)), " ".join(f"#red_candles{i}" for i in range(20)), "\n".join(f"phone XL - SKU {i} - 19.90 - in stock" for i in range(9)),
            said() + "\n" + " ".join(f"phone {m} case {m} phone deal" for m in ["pro", "mini", "XL", "pro", "mini", "XL"] * 4)]
     fine = ["", "   ", None, "hello", good[0] + " see https://a.example #tag", "Ana: " + "no " * 40]
     docs = [(i, t) for i, t in enumerate(good)] + [(1000 + i, t) for i, t in enumerate(bad)] + [(2000 + i, t) for i, t in enumerate(fine)] + [(None, bad[0])]
