@@ -69,9 +69,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return languages.label_cases(languages.cut(p5_stretches(spark, sf)))
 
 
+def _target_records(spark: SparkSession, sf: str) -> DataFrame:
+    return balanced.cut(balanced.target_records(table(spark, sf, "mcq_samples"), table(spark, sf, "segments"), table(spark, sf, "language_codes")))
+
+
 def _draw(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    records = balanced.target_records(table(spark, sf, "mcq_samples"), table(spark, sf, "segments"), table(spark, sf, "language_codes"))
-    return balanced.draw(balanced.cut(records), table(spark, sf, "sample_targets"))
+    return balanced.draw(_target_records(spark, sf), table(spark, sf, "sample_targets"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,6 +89,17 @@ def p6_sample(spark: SparkSession, sf: str) -> DataFrame:
     return _draw(spark, sf)[0]
 
 
+def p6_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The report with what any right draw fulfils instead of its random part: drawn within one of the wanted rows, each record once, none of another category."""
+    records, targets = _target_records(spark, sf), table(spark, sf, "sample_targets")
+    sample, report = balanced.draw(records, targets)
+    keys = ["target_field", "record_key", "category"]
+    fair = sample.join(records, keys, "left").groupBy(*keys).agg(F.count("*").alias("n")).groupBy("target_field", "category").agg((F.max("n") == 1).alias("once"))
+    wanted = F.least(F.greatest(F.col("target_rows"), F.col("min_rows").cast("double")), F.col("available").cast("double"))
+    checked = report.join(fair, ["target_field", "category"], "left")
+    return checked.select("target_field", "category", F.col("sample_size").cast("bigint").alias("sample_size"), F.round("target_rows", 6).alias("target_rows"), "available", "can_be_met", (F.abs(F.col("drawn") - wanted) < 1).alias("within_one"), F.coalesce("once", F.lit(True)).alias("each_once"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf, "documents", "doc_id", "text"))
 
@@ -106,25 +120,11 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_splits, p3_shares, p4_found, p4_texts, p5_found, p5_stretches, p6_found, p6_report, p6_sample, p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_splits, p3_shares, p4_found, p4_texts, p5_found, p5_stretches, p6_found, p6_report, p6_sample, p6_checks, p8_ids, p9_found, p9_leaks, p10_found, p10_shares)}
 
 _FILE = r"lower(regexp_extract(regexp_replace(trim(regexp_replace(regexp_replace(audio_path, '%2[Ff]', '/', 'g'), '[?#].*$', '')), '\.[A-Za-z0-9]{1,5}$', ''), '([^/\\:]+)$', 1))"
 
-ORACLES = {
-    "p3_found": rf"""
-WITH RECURSIVE links AS (
-    SELECT DISTINCT rec_id, 'session:' || split_part(list_extract(string_split(rec_id, '__'), -1), '_', 1) AS entity FROM recordings
-    UNION
-    SELECT DISTINCT rec_id, 'speaker:' || lower(trim(speaker)) FROM segments
-    WHERE speaker IS NOT NULL AND lower(trim(speaker)) NOT IN ('', 'spk_unk') AND rec_id IN (SELECT rec_id FROM recordings)
-), pairs AS (SELECT DISTINCT a.rec_id AS x, b.rec_id AS y FROM links a JOIN links b ON a.entity = b.entity),
-reached AS (SELECT rec_id AS x, rec_id AS y FROM recordings UNION SELECT r.x, p.y FROM reached r JOIN pairs p ON r.y = p.x),
-labels AS (SELECT x AS rec_id, min(y) AS label, count(DISTINCT y) AS n FROM reached GROUP BY x)
-SELECT 'recording' AS record_kind, rec_id AS record_key, label AS group_rec_id FROM labels WHERE n > 1
-UNION ALL
-SELECT 'sample', CAST(s.sample_no AS VARCHAR), l.label
-FROM mcq_samples s JOIN labels l ON {_FILE} = lower(list_extract(string_split(l.rec_id, '__'), -1)) WHERE l.n > 1""",
-    "p6_found": r"""
+_TARGETS = r"""
 WITH golds AS (
     SELECT 'gold_choice' AS target_field, sample_id AS k,
            CASE WHEN coalesce(gold_choice, '') = '' THEN NULL
@@ -139,8 +139,29 @@ WITH golds AS (
     SELECT target_field, k, min(category) AS category FROM (SELECT * FROM golds UNION ALL SELECT * FROM spoken) WHERE k IS NOT NULL GROUP BY target_field, k
 ), sizes AS (SELECT target_field, floor(count(*) * 0.2) AS size FROM records GROUP BY target_field),
 found AS (SELECT target_field, category, count(*) AS n FROM records GROUP BY target_field, category)
-SELECT t.target_field, t.category FROM sample_targets t
+"""
+
+ORACLES = {
+    "p3_found": rf"""
+WITH RECURSIVE links AS (
+    SELECT DISTINCT rec_id, 'session:' || split_part(list_extract(string_split(rec_id, '__'), -1), '_', 1) AS entity FROM recordings
+    UNION
+    SELECT DISTINCT rec_id, 'speaker:' || lower(trim(speaker)) FROM segments
+    WHERE speaker IS NOT NULL AND lower(trim(speaker)) NOT IN ('', 'spk_unk') AND rec_id IN (SELECT rec_id FROM recordings)
+), pairs AS (SELECT DISTINCT a.rec_id AS x, b.rec_id AS y FROM links a JOIN links b ON a.entity = b.entity),
+reached AS (SELECT rec_id AS x, rec_id AS y FROM recordings UNION SELECT r.x, p.y FROM reached r JOIN pairs p ON r.y = p.x),
+labels AS (SELECT x AS rec_id, min(y) AS label, count(DISTINCT y) AS n FROM reached GROUP BY x)
+SELECT 'recording' AS record_kind, rec_id AS record_key, label AS group_rec_id FROM labels WHERE n > 1
+UNION ALL
+SELECT 'sample', CAST(s.sample_no AS VARCHAR), l.label
+FROM mcq_samples s JOIN labels l ON {_FILE} = lower(list_extract(string_split(l.rec_id, '__'), -1)) WHERE l.n > 1""",
+    "p6_found": _TARGETS + """SELECT t.target_field, t.category FROM sample_targets t
 LEFT JOIN sizes z ON z.target_field = t.target_field
 LEFT JOIN found f ON f.target_field = t.target_field AND f.category = t.category
 WHERE coalesce(f.n, 0) < t.target_share * z.size OR coalesce(f.n, 0) < t.min_rows""",
+    "p6_checks": _TARGETS + """
+SELECT t.target_field, t.category, CAST(coalesce(z.size, 0) AS BIGINT) AS sample_size, round(t.target_share * coalesce(z.size, 0), 6) AS target_rows, coalesce(f.n, 0) AS available,
+       NOT (coalesce(f.n, 0) < t.target_share * coalesce(z.size, 0) OR coalesce(f.n, 0) < t.min_rows) AS can_be_met, true AS within_one, true AS each_once
+FROM sample_targets t LEFT JOIN sizes z ON z.target_field = t.target_field
+LEFT JOIN found f ON f.target_field = t.target_field AND f.category = t.category""",
 }

@@ -55,14 +55,51 @@ def test_ids_equal_whole_encoding(spark):
 # balanced samples
 
 
+def fly(units, rng):
+    """A flight of (category, p) units."""
+    flight = balanced.Flight()
+    for i, (category, p) in enumerate(units):
+        flight.meet(("f", category), (i, category), p, rng.random())
+    return flight
+
+
 def test_flight_keeps_totals():
     rng = random.Random(2)
-    units = [("f", c, 0.3, rng.random()) for c in "ab" for _ in range(100)]
-    p = balanced.flight(units)
-    assert sum(0 < x < 1 for x in p) <= 2
-    assert abs(sum(p[:100]) - 30) < 1e-6 and abs(sum(p[100:]) - 30) < 1e-6
-    landed = balanced.flight([("f", c, 0.4, rng.random()) for c in "abcde"], landing=True)
-    assert set(landed) <= {0, 1} and sum(landed) == 2
+    units = [(c, 0.3) for c in "ab" for _ in range(100)] + [("c", 0.35)] * 3 + [("d", 1.0), ("e", 0.0)]
+    flight = fly(units, rng)
+    drawn = lambda c: sum(u[1] == c for u in flight.chosen)
+    assert set(flight.open) <= {("f", c) for c in "abc"}
+    for c, total in (("a", 30), ("b", 30), ("c", 1.05)):
+        assert drawn(c) + flight.open.get(("f", c), (0, 0.0))[1] == pytest.approx(total)
+    assert drawn("d") == 1 and drawn("e") == 0
+    landed = fly([(c, 0.4) for c in "abcde"], rng)
+    landed.land(lambda slot: slot[0], lambda unit, k: rng.random())
+    assert len(landed.chosen) == 2 and not landed.open
+
+
+def test_draws_are_above_and_below_the_target_in_proportion():
+    # partitions of 50 to 63 records fly alone, what they leave is merged and landed
+    above = below = 0
+    shares = np.zeros(63)
+    for seed in range(2000):
+        rng = random.Random(seed)
+        sizes = [50, 52, 55, 57, 59, 60, 61, 63]
+        chosen, rest = 0, []
+        for n in sizes:
+            flight = fly([("a", 0.2)] * n, rng)
+            chosen += len(flight.chosen)
+            rest += [p for _, p in flight.open.values()]
+            if n == 63:
+                shares += np.bincount([u[0] for u in flight.chosen], minlength=63)
+        last = fly([("a", p) for p in rest], rng)
+        last.land(lambda slot: slot[0], lambda unit, k: rng.random())
+        chosen += len(last.chosen)
+        above, below = above + (chosen > 91.4), below + (chosen < 91.4)
+        assert chosen in (91, 92)
+    # the target is 91.4
+    assert abs(above / 2000 - 0.4) < 0.05
+    # the last of a partition are left open and decided after the merge
+    assert abs(shares[:60] / 2000 - 0.2).max() < 0.06
 
 
 def test_draw_and_report(spark):
