@@ -26,7 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechloom.llm.lookalikes import CYRILLIC_LETTER, LATIN_LETTER, PLAIN, Lattice, canonical_text
+from speechloom.llm.lookalikes import Lattice, canonical_text
+from speechloom.llm.words import is_consistent
 from speechloom.session import cut
 
 #: Least shares of common pairs and words: at most 1 / share of them are broadcast, 24 bytes each.
@@ -49,7 +50,6 @@ _tag = re.compile(r"#[^\W\d][\w-]*")
 _word = re.compile(r"[^\W_]+")
 _separators = ("\t", *(f" {x} " for x in "-–—|·»;/"))
 _field = re.compile(r"\s+[-–—|·»;/]\s+|\t")
-_odd, _latin, _cyrillic = (re.compile(x).search for x in (f"[^{PLAIN}\\n]", LATIN_LETTER, CYRILLIC_LETTER))
 _price = re.compile(r"(?<![\d.])\d+[.,]\d\d(?![\d.,]*\d)|[$€£¥]\s?\d")
 
 
@@ -127,9 +127,7 @@ def sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def _consistent(text: str, lattice: Lattice) -> str:
     """The canonical form line by line; a text that needs none in any line returns at once."""
-    if not _odd(text) and (text.isascii() or not (_cyrillic(text) and _latin(text))):
-        return text
-    return "\n".join(canonical_text(line, lattice) for line in text.split("\n"))
+    return text if is_consistent(text) else "\n".join(canonical_text(line, lattice) for line in text.split("\n"))
 
 
 def parsed_documents(documents: DataFrame) -> DataFrame:

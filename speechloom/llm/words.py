@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from speechloom.llm.lookalikes import Lattice, canonical_text
+from speechloom.llm.lookalikes import CYRILLIC_LETTER, LATIN_LETTER, PLAIN, Lattice, canonical_text
+
+_odd, _latin, _cyrillic = (re.compile(x).search for x in (f"[^{PLAIN}\\n]", LATIN_LETTER, CYRILLIC_LETTER))
+
+
+def is_consistent(text: str) -> bool:
+    """Whether each line of a text is surely in its canonical form: a line break alone is no irregular character here."""
+    return not _odd(text) and (text.isascii() or not (_cyrillic(text) and _latin(text)))
 
 
 def plain_words(texts: list[str | None], lattice: Lattice, join_apostrophes: bool = True, part_dense: bool = False) -> tuple[pa.Array, np.ndarray]:
@@ -15,7 +24,7 @@ def plain_words(texts: list[str | None], lattice: Lattice, join_apostrophes: boo
 
     An apostrophe joins the letters around it, or parts them like any character that is no letter, mark or digit. With part_dense each letter of scripts written without spaces is a word.
     """
-    clean = pa.array([canonical_text(x, lattice) if x else "" for x in texts], pa.large_string())
+    clean = pa.array([(x if is_consistent(x) else canonical_text(x, lattice)) if x else "" for x in texts], pa.large_string())
     clean = pc.utf8_lower(clean)
     if join_apostrophes:
         clean = pc.replace_substring_regex(clean, r"['’`´]", "")

@@ -198,9 +198,21 @@ def test_every_shared_run_is_found(spark):
     evals = spark.createDataFrame(list(enumerate(items)) + [(77, None)], "item_id bigint, item_text string")
     found = [(r.doc_id, r.item_id) for r in leaks.leaked_items(frame, evals).collect()]
     assert sorted(found) == sorted(expected | {(502, 1)})
+    # shuffled instead of broadcast, with every fingerprint of two documents spread
+    spread = [(r.doc_id, r.item_id) for r in leaks.leaked_items(frame, evals, broadcast_rows=0, hot_rows=1).collect()]
+    assert sorted(spread) == sorted(found)
     assert leaks.leaked_items(frame, evals.limit(0)).count() == 0
 
 
+def test_covered_run():
+    at = lambda text: np.array([hash(tuple(text[i : i + 3])) for i in range(len(text) - 2)])
+    assert leaks.covered_run(at("x a b c d y a b c".split()), at("a b c d".split()), 3) == 4
+    assert leaks.covered_run(at("a b c".split()), at("x a b c".split()), 3) == 3
+    assert leaks.covered_run(at("x a b".split()), at("a b c".split()), 3) == 0
+    assert leaks.covered_run(np.empty(0), at("a b c".split()), 3) == 0
+    assert len(leaks.grams(np.arange(2, dtype=np.uint64), 3)) == 0
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 60, 15).astype(np.uint64)
