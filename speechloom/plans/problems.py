@@ -43,7 +43,15 @@ def p7_options(spark: SparkSession, sf: str) -> DataFrame:
     return nested.jsonl_options(_nodes(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p7_found, p7_records, p7_questions, p7_options)}
+def p7_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.schema_paths(_nodes(spark, sf))
+
+
+def p7_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.unreadable(table(spark, sf, "mcq_jsonl"), "line_no", "jsonl")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p7_found, p7_records, p7_questions, p7_options, p7_paths, p7_rejects)}
 
 _PERIODS = """
 WITH bounds AS (
