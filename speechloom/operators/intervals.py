@@ -5,8 +5,8 @@ its fragments at its two end cells and a range of whole cells between. Fragments
 into canonical dyadic blocks, blocks below a present ancestor are dropped, sibling pairs merge
 upward, and adjacent blocks coalesce into runs: once per batch before the shuffle (so a hot cell
 shrinks on the map side) and once per cell after it. A cell holds at most 2**(CELL_BITS - 1) runs,
-so no task gathers an unbounded group, however skewed the entities are. Only a summary row per
-cell (its first and last run) meets the other cells of its entity.
+so no task gathers an unbounded group, however skewed the entities are. Only the first and last run of
+each cell meet other cells: those of a stretch of cells in one window, and one row for each stretch of the entity.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from speechloom.session import cut
 
 CELL_BITS = 16
+#: Cells of one stretch: the pieces between cells are ordered by stretch.
+STRETCH_BITS = 10
 #: A bound beyond this many units counts as not finite: sums and products of it stay exact.
 LARGEST = 1 << 52
 #: Levels a whole-cell range can take: 2 * LARGEST units are fewer than 2**(CELL_BITS + MANY) units.
@@ -157,13 +159,21 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _range_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole-cell ranges to canonical blocks (level in cells)."""
+    """Whole-cell ranges to canonical blocks (level in cells), those of an entity's batch without covered ones."""
     for b in batches:
         lo, hi = np.asarray(b.column(1)), np.asarray(b.column(2))
-        for i in range(b.num_rows):
-            levels = canonical_blocks(lo[i : i + 1], hi[i : i + 1], MANY)
-            level = np.concatenate([np.full(len(x), k, np.int64) for k, x in enumerate(levels)])
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(level), b.column(0).type), pa.array(level), pa.array(np.concatenate(levels))], ["entity", "level", "block"])
+        codes = b.column(0).dictionary_encode()
+        code = np.asarray(codes.indices)
+        order = np.argsort(code, kind="stable")
+        entity, level, block = [], [], []
+        for own in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if b.num_rows else ():
+            levels = drop_covered(canonical_blocks(lo[own], hi[own], MANY))
+            size = [len(x) for x in levels]
+            entity.append(np.full(sum(size), code[own[0]]))
+            level.append(np.repeat(np.arange(len(levels)), size))
+            block.extend(levels)
+        if entity:
+            yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(np.concatenate(entity))), pa.array(np.concatenate(level)), pa.array(np.concatenate(block))], ["entity", "level", "block"])
 
 
 def centiseconds(seconds: Column) -> Column:
@@ -172,6 +182,12 @@ def centiseconds(seconds: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float(LARGEST))), x).cast("bigint")
 
 
+def half_even_centiseconds(seconds: Column) -> Column:
+    """Whole centiseconds, halves to the even one; null for null, not finite or beyond LARGEST."""
+    x = F.bround(seconds * 100)
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float(LARGEST))), x).cast("bigint")
+
+
 def periods_and_gaps(intervals: DataFrame, entity: str, lo: str, hi: str, longest_gap: int | None = None) -> DataFrame:
     """Merge integer intervals [lo, hi) of each entity into continuous periods and list the gaps between.
 
@@ -197,10 +213,13 @@ def periods_and_gaps(intervals: DataFrame, entity: str, lo: str, hi: str, longes
 
     # whole-cell ranges: at most one row for each cell they start in
     ranges = rows.where("last > first + 1").select("entity", (F.col("first") + 1).alias("lo"), F.col("last").alias("hi")).groupBy("entity", "lo").agg(F.max("hi").alias("hi"))
-    blocks = ranges.mapInArrow(_range_blocks, "entity string, level bigint, block bigint").distinct()
-    ancestors = cells.select("entity", "cell", F.explode(F.sequence(F.lit(0), F.lit(MANY))).alias("level")).withColumns({"block": F.expr("shiftright(cell, level)"), "level": F.col("level").cast("bigint")})
-    covered = ancestors.join(blocks, ["entity", "level", "block"], "left_semi").select("entity", "cell")
-    cells = cells.join(covered, ["entity", "cell"], "left_anti")
+    blocks = cut(ranges.mapInArrow(_range_blocks, "entity string, level bigint, block bigint").distinct())
+    # at most MANY + 1 levels, and only those that some range has
+    levels = sorted(r.level for r in blocks.select("level").distinct().collect())
+    if levels:
+        ancestors = cells.select("entity", "cell", F.explode(F.array(*(F.lit(k) for k in levels))).alias("level")).withColumns({"block": F.expr("shiftright(cell, cast(level as int))"), "level": F.col("level").cast("bigint")})
+        covered = ancestors.join(blocks, ["entity", "level", "block"], "left_semi").select("entity", "cell")
+        cells = cells.join(covered, ["entity", "cell"], "left_anti")
 
     run, n = F.col("runs"), F.size("runs")
     inside = F.concat(
@@ -212,18 +231,38 @@ def periods_and_gaps(intervals: DataFrame, entity: str, lo: str, hi: str, longes
     ends = cells.select("entity", F.element_at("runs", 1).alias("head"), F.when(n > 1, F.element_at("runs", -1)).alias("tail"))
     whole = ranges.select("entity", F.struct((F.col("lo") * unit).alias("lo"), (F.col("hi") * unit).alias("hi")).alias("head"), F.lit(None).cast("struct<lo:bigint,hi:bigint>").alias("tail"))
     pieces = ends.unionByName(whole).select("entity", F.explode(F.array_compact(F.array(F.struct(F.col("head").alias("at"), F.lit(False).alias("after")), F.when(F.col("tail").isNotNull(), F.struct(F.col("tail").alias("at"), F.lit(True).alias("after")))))).alias("p")).select("entity", "p.at.lo", "p.at.hi", "p.after")
-    order = Window.partitionBy("entity").orderBy("lo", "hi", "after")
-    # the running end of all earlier pieces; the piece after a cell's inner runs never touches its cell's first
-    pieces = pieces.withColumn("before", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("new", F.col("before").isNull() | (F.col("lo") > F.col("before")))
-    pieces = pieces.withColumn("island", F.sum(F.col("new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    periods = pieces.groupBy("entity", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("entity", F.lit("period").alias("kind"), "lo", "hi")
-    across = pieces.where("before is not null and new and not after").select("entity", F.lit("gap").alias("kind"), F.col("before").alias("lo"), F.col("lo").alias("hi"))
+    periods, across = _joined_pieces(pieces)
     out = within.unionByName(periods).unionByName(across)
     if longest_gap is not None:
         out = out.where((F.col("kind") == "period") | (F.col("hi") - F.col("lo") <= longest_gap))
     return out.withColumnRenamed("entity", entity)
 
 
+def _joined_pieces(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Periods of pieces (entity, lo, hi, after), and the gaps before those that are not after their own cell's runs.
+
+    Pieces are ordered within stretches of 2**STRETCH_BITS cells; what the stretches before reach, and where the
+    next period starts, comes from one summary row for each stretch. So no window holds more than a stretch's
+    pieces, or one row for each stretch of an entity.
+    """
+    pieces = pieces.withColumn("stretch", F.shiftright("lo", CELL_BITS + STRETCH_BITS))
+    order = Window.partitionBy("entity", "stretch").orderBy("lo", "hi", "after")
+    stretches = Window.partitionBy("entity").orderBy("stretch")
+    reach = pieces.groupBy("entity", "stretch").agg(F.max("hi").alias("reach"))
+    reach = reach.select("entity", "stretch", F.max("reach").over(stretches.rowsBetween(Window.unboundedPreceding, -1)).alias("reached"), F.max("reach").over(Window.partitionBy("entity")).alias("last"))
+    near = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # the running end of all earlier pieces; the piece after a cell's inner runs never touches its cell's first
+    placed = pieces.withColumn("near", near).join(reach, ["entity", "stretch"]).withColumn("before", F.greatest("near", "reached"))
+    starts = placed.where("before is null or lo > before").select("entity", "stretch", "lo", "hi", "after", "before", "last")
+    # a period ends where all is reached before the next starts
+    firsts = starts.groupBy("entity", "stretch").agg(F.min_by("before", F.struct("lo", "hi", "after")).alias("first"))
+    firsts = firsts.select("entity", "stretch", F.lead("first").over(stretches).alias("following"))
+    ended = starts.withColumn("next", F.lead("before").over(order)).join(firsts, ["entity", "stretch"])
+    periods = ended.select("entity", F.lit("period").alias("kind"), "lo", F.coalesce("next", "following", "last").alias("hi"))
+    across = ended.where("before is not null and not after").select("entity", F.lit("gap").alias("kind"), F.col("before").alias("lo"), F.col("lo").alias("hi"))
+    return periods, across
+
+
 def segment_bounds(segments: DataFrame, recordings: DataFrame) -> DataFrame:
     """(rec_id, start_cs, end_cs) of usable segments; an end of -1 becomes the recording's duration.
 

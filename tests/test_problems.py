@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 from hypothesis import given, settings
@@ -49,6 +50,23 @@ def test_periods_and_gaps_over_cells(spark, rows):
     assert rows(intervals.periods_and_gaps(df.limit(0), "k", "lo", "hi")) == []
 
 
+def test_periods_across_stretches(spark, rows):
+    rng = random.Random(1)
+    far = 1 << (intervals.CELL_BITS + intervals.STRETCH_BITS)
+    spans = []
+    for k in "abc":
+        for _ in range(60):
+            a = rng.randrange(6 * far)
+            spans.append((k, a, a + rng.choice([5, 1 << 14, 1 << 18, far // 3, far + 9])))
+    spans += [("d", i * far, i * far + (far if i % 2 else 7)) for i in range(5)]
+    df = spark.createDataFrame(spans, "k string, lo bigint, hi bigint")
+    expected = []
+    for k in "abcd":
+        p = brute([(a, b) for e, a, b in spans if e == k])
+        expected += [(k, "period", a, b) for a, b in p] + [(k, "gap", x[1], y[0]) for x, y in zip(p, p[1:])]
+    assert rows(intervals.periods_and_gaps(df, "k", "lo", "hi")) == sorted(expected, key=repr)
+
+
 def test_segments_with_dirty_bounds(spark, rows):
     inf, nan = float("inf"), float("nan")
     seg = spark.createDataFrame([("r", 1.0, -1.0), ("r", 0.5, 0.7), ("r", nan, 2.0), ("r", 1.0, inf), ("r", 9.0, 8.0), ("r", None, 1.0), ("r", 1.0, None), ("q", 2.0, -1.0), ("r", 1e300, 2e300)], "rec_id string, start_sec double, end_sec double")
