@@ -5,8 +5,12 @@ Letters and digits of any script are \\p{L} and \\p{N}: combining marks are not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"\p{L}\p{N}_"
 #: Scripts spaced by character before scoring (fixed values): CJK, kana, Hangul, Thai.
@@ -16,6 +20,13 @@ SERBIAN_PAIRS = {"dž": "џ", "lj": "љ", "nj": "њ"}
 SERBIAN_FROM, SERBIAN_TO = "abvgdđežzijklmnoprstćufhcčš", "абвгдђежзијклмнопрстћуфхцчш"
 
 
+def rewritten(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """A text with each match of a pattern replaced by a function of it: parted, changed and joined on the JVM side."""
+    parts, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.transform(parts, lambda p, i: F.concat(F.when(i > 0, change(F.get(found, i - 1))).otherwise(F.lit("")), p))
+    return F.array_join(pieces, "")
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -81,17 +92,96 @@ def space_characters(text: Column) -> Column:
     return collapse(F.regexp_replace(text, f"([{SPACED}])", " $1 "))
 
 
-def for_scoring(text: Column, keep_case: bool = False, by_character: bool = False) -> Column:
-    """The form that word errors are counted on: lower case, no punctuation, single spaces."""
+#: Languages scored by character (fixed values).
+BY_CHARACTER = ["ja", "ko", "th", "zh", "zh-cn", "zh-tw", "yue"]
+#: Names of languages and their codes (fixed values).
+LANGUAGE_CODES = {
+    "english": "en", "french": "fr", "french(canada)": "fr", "german": "de", "italian": "it", "japanese": "ja", "korean": "ko",
+    "portuguese": "pt", "portuguese(brazil)": "pt", "russian": "ru", "spanish": "es", "spanish(mexico)": "es", "tagalog": "tl",
+    "thai": "th", "turkish": "tr", "urdu": "ur", "vietnamese": "vi",
+}
+_B = rf"(?<![{WORD}])(?=[{WORD}])"
+_E = rf"(?<=[{WORD}])(?![{WORD}])"
+
+
+def language_code(name: Column) -> Column:
+    """The code of a language's name; another name is its own code, in lower case."""
+    low = F.lower(F.trim(name))
+    codes = F.create_map(*(F.lit(x) for kv in LANGUAGE_CODES.items() for x in kv))
+    return F.coalesce(F.try_element_at(codes, low), low)
+
+
+@F.pandas_udf(StringType())
+def strip_accents(texts: pd.Series) -> pd.Series:
+    """Letters without their accents; there is no built-in decomposition."""
+    import unicodedata
+
+    return texts.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"))
+
+
+def for_scoring(text: Column, language: Column | None = None, lower: bool = True, accents: bool = True, zeros: bool = False, punctuation: bool = False, number_words: bool = False) -> Column:
+    """The form that word errors are counted on, of the language's name or code; null counts as empty.
+
+    Lower case; without accents if they are not kept; a 0 between two single characters as o; punctuation to
+    spaces; languages of BY_CHARACTER by character, digits too; whole numbers in English words where wanted.
+    """
     out = F.coalesce(text, F.lit(""))
-    out = out if keep_case else F.lower(out)
-    out = F.regexp_replace(out, rf"[^{WORD}\s]", " ")
-    return space_characters(out) if by_character else collapse(out)
+    out = F.lower(out) if lower else out
+    out = out if accents else strip_accents(out)
+    if zeros:
+        out = F.regexp_replace(out, rf"(?<={_B}[{WORD}])0(?=[{WORD}]{_E})", "o")
+    if not punctuation:
+        out = F.regexp_replace(out, rf"[^{WORD}\s]", " ")
+    if language is not None:
+        single = F.trim(F.regexp_replace(F.regexp_replace(out, r"\s+", ""), "(.)", "$1 "))
+        out = F.when(F.coalesce(language_code(language), F.lit("")).isin(BY_CHARACTER), single).otherwise(out)
+    if number_words:
+        out = rewritten(out, rf"{_B}\p{{Nd}}+{_E}", lambda m: F.coalesce(in_words(m.try_cast("bigint")), m))
+    return collapse(out)
 
 
-def zero_between_words(text: Column) -> Column:
-    """A lone 0 between letters, misread for the letter o."""
-    return F.regexp_replace(text, r"(?<=\p{L} )0(?= \p{L})", "o")
+#: Latin letters of words between which a lone 0 stands (fixed values).
+_LATIN = r"A-Za-zÀ-ÖØ-öø-ÿ"
+
+
+def for_scoring_spoken(text: Column, language: Column | None = None, zeros: bool = True) -> Column:
+    """Another form for scoring: a lone 0 and the words around it become ` o `, underscores are spaces, and languages of BY_CHARACTER keep runs of other scripts whole.
+
+    The words beside the 0 are dropped with it, as the original does.
+    """
+    out = F.lower(F.coalesce(text, F.lit("")))
+    if zeros:
+        out = F.regexp_replace(out, rf"{_B}[{_LATIN}]+\s+0\s+[{_LATIN}]+{_E}", " o ")
+    out = F.replace(F.regexp_replace(out, rf"[^{WORD}\s]", " "), F.lit("_"), F.lit(" "))
+    if language is not None:
+        spaced = F.regexp_replace(out, r"([\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}\x{0E00}-\x{0E7F}])", " $1 ")
+        out = F.when(F.coalesce(language_code(language), F.lit("")).isin(BY_CHARACTER), spaced).otherwise(out)
+    return collapse(out)
+
+
+#: English number words (fixed values).
+ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+
+
+def in_words(n: Column) -> Column:
+    """English words of 0 to 999,999,999; null beyond."""
+    ones, tens = (F.array(*(F.lit(w) for w in words)) for words in (ONES, TENS))
+    place = lambda words, i: F.get(words, i.cast("int"))
+
+    def below_hundred(x: Column) -> Column:
+        return F.when(x < 20, place(ones, x)).otherwise(F.concat(place(tens, F.floor(x / 10) - 2), F.when(x % 10 > 0, F.concat(F.lit("-"), place(ones, x % 10))).otherwise(F.lit(""))))
+
+    def below_thousand(x: Column) -> Column:
+        rest = F.when(x % 100 > 0, F.concat(F.lit(" and "), below_hundred(x % 100))).otherwise(F.lit(""))
+        return F.when(x < 100, below_hundred(x)).otherwise(F.concat(place(ones, F.floor(x / 100)), F.lit(" hundred"), rest))
+
+    parts = [(F.floor(n / 1_000_000), " million"), (F.floor(n / 1000) % 1000, " thousand")]
+    high = F.concat_ws(", ", *(F.when(x > 0, F.concat(below_thousand(x), F.lit(name))) for x, name in parts))
+    low = n % 1000
+    joint = F.when(low < 100, F.lit(" and ")).otherwise(F.lit(", "))
+    whole = F.when(n < 1000, below_thousand(n)).when(low == 0, high).otherwise(F.concat(high, joint, below_thousand(low)))
+    return F.when(n.between(0, 999_999_999), whole)
 
 
 def serbian_cyrillic(text: Column) -> Column:
@@ -185,9 +275,7 @@ def repeated_ngram_cut(text: Column, n: int = 5, window: int = 150, step: int =
     """cut_loop over a column: counting n-grams by window has no built-in form of linear cost."""
 
     @F.pandas_udf("string")
-    def cut(texts):
-        import pandas as pd
-
+    def cut(texts: pd.Series) -> pd.Series:
         return pd.Series([cut_loop(x, n, window, step, most) for x in texts], dtype=object)
 
     return cut(text)

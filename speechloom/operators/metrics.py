@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,35 +54,53 @@ def sentence_rates(rows: DataFrame, edits: str, units: str) -> DataFrame:
 
 
 def align(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int, int]:
-    """Hits, substitutions, deletions, insertions of one best alignment; substitutions before gaps on ties."""
+    """Hits, substitutions, deletions, insertions of one best alignment; substitutions before gaps on ties.
+
+    Equal words at both ends are hits of some best alignment, so only what lies between needs the matrix; its rows are
+    whole array operations.
+    """
     n, m = len(reference), len(hypothesis)
-    cost = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i][j] = min(cost[i - 1][j - 1] + (reference[i - 1] != hypothesis[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    head = 0
+    while head < min(n, m) and reference[head] == hypothesis[head]:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and reference[n - 1 - tail] == hypothesis[m - 1 - tail]:
+        tail += 1
+    a, b = reference[head : n - tail], hypothesis[head : m - tail]
+    if not a or not b:
+        return head + tail, 0, len(a), len(b)
+    code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = np.array([code[w] for w in a]), np.array([code[w] for w in b])
+    place = np.arange(len(b) + 1)
+    cost = np.empty((len(a) + 1, len(b) + 1), np.int32)
+    cost[0] = place
+    for i in range(1, len(a) + 1):
+        best = np.minimum(np.r_[i, cost[i - 1, :-1] + (y != x[i - 1])], cost[i - 1] + 1)
+        # insertions carry the least of all earlier places along the row
+        cost[i] = np.minimum.accumulate(best - place) + place
     hits = subs = dels = inserted = 0
-    i, j = n, m
+    i, j = len(a), len(b)
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (reference[i - 1] != hypothesis[j - 1]):
-            same = reference[i - 1] == hypothesis[j - 1]
-            hits, subs, i, j = hits + same, subs + (not same), i - 1, j - 1
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
+            same = x[i - 1] == y[j - 1]
+            hits, subs, i, j = hits + int(same), subs + int(not same), i - 1, j - 1
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
             dels, i = dels + 1, i - 1
         else:
             inserted, j = inserted + 1, j - 1
-    return hits, subs, dels, inserted
+    return head + tail + hits, subs, dels, inserted
 
 
 def alignment_counts(rows: DataFrame, key: list[str], reference: str, hypothesis: str) -> DataFrame:
     """(key, hits, substitutions, deletions, insertions) of word alignments; a backtrace, so in Python."""
-    chosen = rows.select(*key, F.col(reference).alias("_a"), F.col(hypothesis).alias("_b"))
+    chosen = rows.select(*key, _words(F.col(reference)).alias("_a"), _words(F.col(hypothesis)).alias("_b"))
     names = ["hits", "substitutions", "deletions", "insertions"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-2]), *(f"{n} bigint" for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())
-            counts = [align((x or "").split(), (y or "").split()) for x, y in pairs]
+            counts = [align(x, y) for x, y in pairs]
             columns = zip(*counts) if counts else [[]] * 4
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(list(c), pa.int64()) for c in columns)], [*b.schema.names[:-2], *names])
 

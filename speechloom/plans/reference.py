@@ -5,13 +5,13 @@ The tables hold no model output, so predictions are made by arithmetic on row nu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechloom.functions import text as tx
 from speechloom.functions import timeref
 from speechloom.operators import aggregates as agg
-from speechloom.operators import intervals, joins, mcq, metrics, sampling
+from speechloom.operators import corpora, intervals, joins, mcq, metrics, sampling, validity
 from speechloom.sources.tables import table
 
 LETTERS = ["A", "B", "C", "D"]
@@ -126,13 +126,8 @@ CASE WHEN isfinite(start_sec) AND isfinite(end_sec) AND end_sec != -1 AND end_se
 
 
 def _reasons(spark, sf):
-    a, b = F.col("start_sec"), F.col("end_sec")
-    infinite = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
-    reasons = F.array_compact(F.array(
-        F.when(a.isNull() | b.isNull(), "null_bound"), F.when(infinite(a) | infinite(b), "not_finite"),
-        F.when(~infinite(a) & ~infinite(b) & (b != -1) & (b <= a), "reversed"), F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "no_text"),
-    ))
-    return table(spark, sf, "segments").select("utt_id", F.array_join(reasons, "|").alias("reasons"))
+    reasons = validity.segment_reasons(F.col("start_sec"), F.col("end_sec"), F.col("text"))
+    return table(spark, sf, "segments").select("utt_id", reasons.alias("reasons"))
 
 
 @query(f"""SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(r, '|')) AS reason FROM (SELECT {_REASONS} AS r FROM segments)) WHERE reason != '' GROUP BY reason""")
@@ -339,14 +334,8 @@ def _text_labels(rows: DataFrame) -> DataFrame:
     return rows.select("sample_no", tx.normalize_label(F.col("question")).alias("label"), tx.normalize_choice(F.col("gold_choice")).alias("choice"), tx.label_or_null(F.col("language")).alias("language"))
 
 
-@query("SELECT sample_no, " + _COLLAPSE.format(f"regexp_replace(lower(trim(question)), '{_W}', ' ', 'g')") + " AS label, upper(trim(gold_choice)) AS choice, nullif(lower(trim(language)), '') AS language FROM mcq_samples WHERE regexp_matches(question, '^[ -~]*$')")
+@query("SELECT sample_no, " + _COLLAPSE.format(f"regexp_replace(lower(trim(question)), '{_W}', ' ', 'g')") + " AS label, upper(trim(gold_choice)) AS choice, nullif(lower(trim(language)), '') AS language FROM mcq_samples")
 def q_text_labels(spark, sf):
-    return _text_labels(table(spark, sf, "mcq_samples").where(F.col("question").rlike("^[ -~]*$")))
-
-
-@query()
-def q_text_labels_all(spark, sf):
-    """Labels of questions in any script, and of null ones; the SQL of q_text_labels holds printable ASCII alone."""
     return _text_labels(table(spark, sf, "mcq_samples"))
 
 
@@ -382,7 +371,7 @@ def q_text_prompt(spark, sf):
     return table(spark, sf, "mcq_samples").select("sample_no", tx.prompt(F.col("question"), F.col("choice_labels"), texts).alias("prompt"))
 
 
-@query()
+@query(r"""SELECT sample_no, array_to_string(list_transform(string_split_regex(question, '\d+:\d\d'), lambda x, i: CASE WHEN i = 1 THEN x ELSE 'TS' || (i - 2) || 'TS' || x END), '') AS masked, question AS restored FROM mcq_samples""")
 def q_text_masked_times(spark, sf):
     masked, found = tx.mask(F.col("question"), r"\d+:\d\d", "TS", "TS")
     rows = table(spark, sf, "mcq_samples").select("sample_no", "question", masked.alias("masked"), found.alias("found"))
@@ -402,9 +391,25 @@ def q_text_single_runs(spark, sf):
 # times
 
 
-@query()
+_ATOM = rf"(?:{timeref.CLOCK}|{timeref.NUMBER}(?:\s*(?:{timeref.UNITS}))?)"
+_SECONDS = r"""CASE WHEN t LIKE '%:%' THEN list_reduce(list_transform(string_split(t, ':'), lambda x: CAST(x AS DOUBLE)), lambda a, x: a * 60 + x)
+ELSE CAST(regexp_extract(t, '^([0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE) * CASE WHEN regexp_matches(t, '[0-9]\s*h') THEN 3600 WHEN regexp_matches(t, '[0-9]\s*m') THEN 60 ELSE 1 END END"""
+
+
+@query(rf"""WITH q AS (SELECT sample_no, question AS x FROM mcq_samples WHERE question IS NOT NULL),
+masked AS (SELECT sample_no, regexp_replace(regexp_replace(regexp_replace(x, '(?i){_ATOM}\s*{timeref.DASH}\s*{_ATOM}', chr(1), 'g'), '(?i){timeref.KEYWORD}\s*{_ATOM}', chr(1), 'g'), '([^\d:])', '\1\1', 'g') AS x FROM q),
+pairs AS (
+    SELECT sample_no, unnest(regexp_extract_all(x, '(?i)({_ATOM})\s*{timeref.DASH}\s*({_ATOM})', 1)) AS a, unnest(regexp_extract_all(x, '(?i)({_ATOM})\s*{timeref.DASH}\s*({_ATOM})', 2)) AS b FROM q UNION ALL
+    SELECT sample_no, unnest(regexp_extract_all(x, '\[\s*({timeref.NUMBER})\s*,\s*({timeref.NUMBER})\s*\]', 1)), unnest(regexp_extract_all(x, '\[\s*({timeref.NUMBER})\s*,\s*({timeref.NUMBER})\s*\]', 2)) FROM q UNION ALL
+    SELECT sample_no, t, t FROM (SELECT sample_no, unnest(regexp_extract_all(x, '(?i){timeref.KEYWORD}\s*({_ATOM})', 1)) AS t FROM q) UNION ALL
+    SELECT sample_no, t, t FROM (SELECT sample_no, unnest(regexp_extract_all(x, '(?:^|[^\d:])({timeref.CLOCK})(?:[^\d:]|$)', 1)) AS t FROM masked)
+), timed AS (
+    SELECT sample_no, (SELECT {_SECONDS} FROM (SELECT replace(lower(trim(a)), ',', '.') AS t)) AS a, (SELECT {_SECONDS} FROM (SELECT replace(lower(trim(b)), ',', '.') AS t)) AS b FROM pairs
+), turned AS (SELECT DISTINCT sample_no, least(a, b) AS lo, greatest(a, b) AS hi FROM timed)
+SELECT sample_no, row_number() OVER (PARTITION BY sample_no ORDER BY lo, hi) - 1 AS place, lo, hi FROM turned""")
 def q_time_ranges(spark, sf):
-    return table(spark, sf, "mcq_samples").select("sample_no", timeref.time_ranges(F.col("question")).alias("ranges"))
+    found = table(spark, sf, "mcq_samples").select("sample_no", F.posexplode(timeref.time_ranges(F.col("question"))).alias("place", "r"))
+    return found.select("sample_no", F.col("place").cast("bigint").alias("place"), F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
 
 
 @query("""SELECT rec_id, CAST(i AS INT) AS chunk, i * 58.0 AS lo, least(i * 58.0 + 60.0, duration_sec) AS hi FROM (
@@ -420,6 +425,11 @@ def q_time_centiseconds(spark, sf):
     return table(spark, sf, "recordings").select("rec_id", intervals.centiseconds(F.col("duration_sec")).alias("cs"))
 
 
+@query("SELECT rec_id, CAST(round_even(duration_sec * 100, 0) AS BIGINT) AS cs FROM recordings")
+def q_time_half_even(spark, sf):
+    return table(spark, sf, "recordings").select("rec_id", intervals.half_even_centiseconds(F.col("duration_sec")).alias("cs"))
+
+
 # questions and calibration
 
 
@@ -453,11 +463,14 @@ def q_mcq_rotations(spark, sf):
 
 
 def _probs(spark, sf):
-    four = F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 4)
+    # four scores of all entries: every fourth one's sum
+    entries = F.transform("embedding", lambda x: x.cast("double"))
+    every_fourth = lambda k: F.filter(entries, lambda _, i: i % 4 == k)
+    four = F.array(*(F.round(F.aggregate(every_fourth(k), F.lit(0.0), lambda a, x: a + x), 9) for k in range(4)))
     return table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 4).cast("int").alias("gold"), mcq.softmax(four).alias("probs"))
 
 
-_PROBS = """WITH s AS (SELECT vec_id, label % 4 AS gold, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+_PROBS = """WITH s AS (SELECT vec_id, label % 4 AS gold, list_transform([0, 1, 2, 3], lambda k: round(list_sum(list_transform(list_filter(range(len(embedding)), lambda i: i % 4 = k), lambda i: CAST(embedding[i + 1] AS DOUBLE))), 9)) AS e FROM embeddings),
 p AS (SELECT vec_id, gold, list_transform(e, lambda x: exp(x - list_max(e)) / list_sum(list_transform(e, lambda y: exp(y - list_max(e))))) AS probs FROM s)
 """
 
@@ -482,7 +495,12 @@ def q_mcq_calibration_sweep(spark, sf):
     return mcq.calibration_sweep(_probs(spark, sf), "probs", "gold", [0.4, 0.3, 0.2, 0.1], _ALPHAS)
 
 
-@query()
+@query(_PROBS + """, slots AS (SELECT vec_id, r, j, probs[CAST((j * 3 + r) % 4 AS INT) + 1] AS p FROM p, (SELECT unnest([0, 1, 2, 3]) AS r), (SELECT unnest([0, 1, 2, 3]) AS j)),
+best AS (SELECT vec_id, r, (arg_min(j, struct_pack(a := -p, b := j)) + r) % 4 AS content FROM slots GROUP BY vec_id, r),
+agreed AS (SELECT vec_id, count(*) AS rotations, count(DISTINCT content) = 1 AS consistent FROM best GROUP BY vec_id),
+means AS (SELECT vec_id, (j + r) % 4 AS content, round(sum(p / 4), 9) AS prob FROM slots GROUP BY vec_id, (j + r) % 4),
+chosen AS (SELECT vec_id, CAST(arg_min(content, struct_pack(a := -prob, b := content)) AS INT) AS chosen FROM means GROUP BY vec_id)
+SELECT vec_id, rotations, consistent, chosen FROM agreed JOIN chosen USING (vec_id)""")
 def q_mcq_rotation_summary(spark, sf):
     turned = _probs(spark, sf).withColumn("rotation", F.explode(F.sequence(F.lit(0), F.lit(3))))
     slots = F.transform("probs", lambda _, j: F.get(F.col("probs"), ((j * 3 + F.col("rotation")) % 4).cast("int")))
@@ -500,19 +518,25 @@ def _scored(spark, sf):
 
 
 @query("""WITH s AS (SELECT DISTINCT utt_id, language, list_filter(string_split(trim(text), ' '), lambda w: w != '') AS w FROM segments WHERE trim(text) != '')
-SELECT coalesce(language, 'unknown') AS language, CAST(sum(len(w) // 4) AS BIGINT) AS edits, CAST(sum(len(w)) AS BIGINT) AS units, round(CAST(sum(len(w) // 4) AS DOUBLE) / sum(len(w)), 6) AS rate FROM s GROUP BY 1""")
+SELECT language, CAST(sum(len(w) // 4) AS BIGINT) AS edits, CAST(sum(len(w)) AS BIGINT) AS units, round(CAST(sum(len(w) // 4) AS DOUBLE) / sum(len(w)), 6) AS rate FROM s WHERE language IS NOT NULL GROUP BY 1""")
 def q_metric_wer_by_language(spark, sf):
     rows = metrics.with_word_errors(_scored(spark, sf), "reference", "hypothesis")
-    return metrics.error_rate(rows.withColumn("language", F.coalesce("language", F.lit("unknown"))), "word_edits", "words", ["language"])
+    return metrics.error_rate(rows.where("language is not null"), "word_edits", "words", ["language"])
 
 
-@query()
+#: Where words are only left out, the edits are the letters and spaces that are missing, and the alignment has hits and deletions alone.
+_LEFT_OUT = """WITH w AS (SELECT DISTINCT utt_id, language, list_filter(string_split(trim(text), ' '), lambda w: w != '') AS w FROM segments WHERE trim(text) != ''),
+s AS (SELECT utt_id, language, w, length(array_to_string(w, ' ')) AS n, length(array_to_string(list_filter(w, lambda x, i: i % 4 != 0), ' ')) AS m FROM w)
+"""
+
+
+@query(_LEFT_OUT + "SELECT language, CAST(sum(n - m) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS units, round(CAST(sum(n - m) AS DOUBLE) / sum(n), 6) AS rate FROM s WHERE language IS NOT NULL GROUP BY language")
 def q_metric_cer_by_language(spark, sf):
     rows = metrics.with_character_errors(_scored(spark, sf), "reference", "hypothesis")
-    return metrics.error_rate(rows.withColumn("language", F.coalesce("language", F.lit("unknown"))), "character_edits", "characters", ["language"])
+    return metrics.error_rate(rows.where("language is not null"), "character_edits", "characters", ["language"])
 
 
-@query()
+@query(_LEFT_OUT + "SELECT CAST(sum(len(w) - len(w) // 4) AS BIGINT) AS hits, CAST(0 AS BIGINT) AS substitutions, CAST(sum(len(w) // 4) AS BIGINT) AS deletions, CAST(0 AS BIGINT) AS insertions FROM s")
 def q_metric_alignment(spark, sf):
     rows = metrics.alignment_counts(_scored(spark, sf), ["utt_id"], "reference", "hypothesis")
     return rows.agg(*(F.sum(c).alias(c) for c in ("hits", "substitutions", "deletions", "insertions")))
@@ -544,21 +568,13 @@ def q_set_duplicates(spark, sf):
     return table(spark, sf, "mcq_samples").agg(n.alias("rows"), d.alias("different"), (n > d).alias("repeated"))
 
 
-def _mixed_union(rows: DataFrame, copied: Column) -> DataFrame:
-    copies = rows.where(~F.lower(F.trim("language")).startswith("en") & copied)
-    return rows.select("sample_no", "question", F.lit("original").alias("version")).unionByName(copies.select("sample_no", F.upper("question").alias("question"), F.lit("copy").alias("version")))
-
-
-@query("""SELECT sample_no, question, 'original' AS version FROM mcq_samples UNION ALL
-SELECT sample_no, upper(question), 'copy' FROM mcq_samples WHERE lower(trim(language)) NOT LIKE 'en%' AND regexp_matches(question, '^[ -~]*$')""")
+@query("""SELECT sample_no, question, prompt_text, 'original' AS version FROM mcq_samples UNION ALL
+SELECT sample_no, prompt_text, question, 'translated' FROM mcq_samples WHERE lower(trim(language)) NOT LIKE 'en%'""")
 def q_set_mixed_union(spark, sf):
-    return _mixed_union(table(spark, sf, "mcq_samples"), F.col("question").rlike("^[ -~]*$"))
-
-
-@query()
-def q_set_mixed_union_all(spark, sf):
-    """Copies of all non-English questions, null ones too; the SQL of q_set_mixed_union copies printable ASCII alone."""
-    return _mixed_union(table(spark, sf, "mcq_samples"), F.lit(True))
+    """The copies that stand for translations have question and prompt exchanged."""
+    rows = table(spark, sf, "mcq_samples").select("sample_no", "question", "prompt_text", "language")
+    copies = rows.select("sample_no", F.col("prompt_text").alias("question"), F.col("question").alias("prompt_text"), "language")
+    return corpora.mixed(rows, copies, "language").drop("language")
 
 
 @query("""SELECT language, utt_id FROM (SELECT language, utt_id, row_number() OVER (PARTITION BY language ORDER BY md5('9|' || utt_id), utt_id, ingested_at) AS r FROM segments)

@@ -33,15 +33,15 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(fields[0].alias("utt_id"), fields[1].alias("rec_id"), fields[2].cast("double").alias("start_sec"), fields[3].cast("double").alias("end_sec")).where("end_sec > start_sec")
 
 
-def parse_segment_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+def parse_segment_lines(lines: DataFrame, line: str = "line", keep: list[str] | None = None) -> DataFrame:
     """(start_sec, end_sec, speaker, text, kept, rejected) of `start end speaker text` lines; blank lines drop.
 
-    kept: end > start and a text; rejected: the line has another form.
+    kept: end > start and a text; rejected: the line has another form. Columns in keep stay.
     """
     pattern = rf"^\s*({NUMBER})\s+({NUMBER})\s+(\S+)\s+(.*?)\s*$"
     part = lambda i: F.regexp_extract(line, pattern, i)
     fits = F.col(line).rlike(pattern)
-    out = lines.where(F.trim(line) != "").select(part(1).try_cast("double").alias("start_sec"), part(2).try_cast("double").alias("end_sec"), F.nullif(part(3), F.lit("")).alias("speaker"), part(4).alias("text"), (~fits).alias("rejected"))
+    out = lines.where(F.trim(line) != "").select(*(keep or []), part(1).try_cast("double").alias("start_sec"), part(2).try_cast("double").alias("end_sec"), F.nullif(part(3), F.lit("")).alias("speaker"), part(4).alias("text"), (~fits).alias("rejected"))
     return out.withColumn("kept", F.coalesce(~F.col("rejected") & (F.col("end_sec") > F.col("start_sec")) & (F.col("text") != ""), F.lit(False)))
 
 
