@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechloom.operators.sampling import group_rank
+
 
 def with_fallback(rows: DataFrame, lookups: list[tuple[DataFrame, str, Column]], value: str) -> DataFrame:
     """rows with value: of the first lookup (table, its key column, key of rows) that has the key exactly once.
@@ -34,9 +36,8 @@ def allowed(rows: DataFrame, names: DataFrame, name: str, keys: list[Column]) ->
 def rank_aligned(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Pairs of the k-th rows of both sides of each key, of keys with as many rows on both; (keys, rank, left_..., right_...)."""
     def ranked(df: DataFrame, side: str) -> DataFrame:
-        every = Window.partitionBy(*keys)
         rest = [c for c in df.columns if c not in keys]
-        return df.select(*keys, F.row_number().over(every.orderBy(order)).alias("rank"), F.count("*").over(every).alias("size"), *(F.col(c).alias(f"{side}_{c}") for c in rest))
+        return group_rank(df, keys, [F.col(order)], "rank", "size").select(*keys, "rank", "size", *(F.col(c).alias(f"{side}_{c}") for c in rest))
 
     return ranked(left, "left").join(ranked(right, "right"), [*keys, "size", "rank"]).drop("size")
 
@@ -44,11 +45,19 @@ def rank_aligned(left: DataFrame, right: DataFrame, keys: list[str], order: str)
 def in_windows(points: DataFrame, windows: DataFrame, key: str, at: str, lo: str, hi: str, cell: float) -> DataFrame:
     """Each point with the first window of its key (by start, then end) that holds it, bounds included.
 
-    Both sides are cut into cells, so the range condition becomes an equi-join. Points in none are left out.
+    Windows are taken as at most two dyadic ranges of cells: those of the level on which a window spans one or two.
+    Points look on the levels that windows have, so the range condition is an equi-join however long a window is.
+    Points in none are left out.
     """
-    cells = F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    wide = windows.where(F.col(lo) <= F.col(hi)).select(key, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.explode(cells).alias("_cell"))
-    hit = points.withColumn("_cell", F.floor(F.col(at) / cell)).join(wide, [key, "_cell"]).where(F.col(at).between(F.col("_lo"), F.col("_hi")))
+    a, b = F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)
+    level = F.when(b > a, F.ceil(F.log2((b - a).cast("double")))).otherwise(F.lit(0)).cast("int")
+    block = lambda x, k: F.floor(x / F.pow(F.lit(2.0), k)).cast("bigint")
+    wide = windows.where(F.col(lo) <= F.col(hi)).select(key, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), level.alias("_level"), a.alias("_a"), b.alias("_b"))
+    wide = wide.select(key, "_lo", "_hi", "_level", F.explode(F.array_distinct(F.array(block(F.col("_a"), F.col("_level")), block(F.col("_b"), F.col("_level"))))).alias("_block"))
+    # at most as many as a double has exponents
+    levels = [r._level for r in wide.select("_level").distinct().collect()]
+    asked = points.withColumn("_level", F.explode(F.array(*(F.lit(k) for k in levels)) if levels else F.array().cast("array<int>"))).withColumn("_block", block(F.floor(F.col(at) / cell), F.col("_level")))
+    hit = asked.join(wide, [key, "_level", "_block"]).where(F.col(at).between(F.col("_lo"), F.col("_hi")))
     columns = points.columns
     return hit.groupBy(*columns).agg(F.min(F.struct("_lo", "_hi")).alias("w")).select(*columns, F.col("w._lo").alias(lo), F.col("w._hi").alias(hi))
 

@@ -28,24 +28,40 @@ def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank") ->
     return ranged.withColumn("_place", place).join(offsets, "_range").withColumn(name, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
 
 
+def group_rank(df: DataFrame, group: list[str], order: list[Column | str], name: str = "rank", size: str | None = None) -> DataFrame:
+    """df with the rank, from 1, of each row within its group, and the group's size: a group may fill many tasks.
+
+    Nulls are a group. The global rank in order of group and rows, less that of the group's first row.
+    """
+    ranked = global_rank(df, [*group, *order], "_global")
+    first = ranked.groupBy(*(F.col(c).alias(f"_of_{c}") for c in group)).agg(F.min("_global").alias("_first"), F.count("*").alias(size or "_size"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
+    # a row for each group: which side to broadcast is left to Spark's size check
+    placed = ranked.join(first, same).withColumn(name, F.col("_global") - F.col("_first") + 1)
+    return placed.drop("_global", "_first", "_size", *(f"_of_{c}" for c in group))
+
+
 def _with_total(df: DataFrame, name: str) -> DataFrame:
-    # one row on the other side
-    return df.join(F.broadcast(df.agg(F.count("*").alias(name))))
+    # a cross join, as the other side is one row
+    return df.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))
 
 
 def first_n_per_group(df: DataFrame, group: list[str], key: str, n: Column | int, seed: int = 0) -> DataFrame:
     """n rows of each group in hash order, with their rank."""
-    order = Window.partitionBy(*group).orderBy(hash_key(F.col(key), seed), key)
     n = n if isinstance(n, Column) else F.lit(n)
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return group_rank(df, group, [hash_key(F.col(key), seed), F.col(key)]).where(F.col("rank") <= n)
+
+
+def first_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows in hash order: a seeded shuffle cut to its head."""
+    return df.orderBy(hash_key(F.col(key), seed), key).limit(n)
 
 
 def train_eval_split(df: DataFrame, key: str, fraction: float, seed: int = 0, group: list[str] | None = None) -> DataFrame:
     """df with is_eval: half-even round(n * fraction) rows of each group, one at least and n - 1 at most."""
     shuffled = hash_key(F.col(key), seed)
     if group:
-        n, rank = F.count("*").over(Window.partitionBy(*group)), F.row_number().over(Window.partitionBy(*group).orderBy(shuffled, key))
-        rows = df.withColumn("_n", n).withColumn("_rank", rank)
+        rows = group_rank(df, group, [shuffled, F.col(key)], "_rank", "_n")
     else:
         rows = _with_total(global_rank(df, [shuffled, key], "_rank"), "_n")
     k = F.least(F.greatest(F.bround(F.col("_n") * F.lit(fraction)), F.lit(1)), F.col("_n") - 1)
@@ -58,14 +74,12 @@ def stratified_partitions(df: DataFrame, label: str, key: str, val: float, test:
     Classes of one or two rows are all test. Else half-even rounded parts, each at least one; validation, then
     test, shrinks until a row is left for train.
     """
-    every = Window.partitionBy(label)
-    n = F.count("*").over(every)
-    rank = F.row_number().over(every.orderBy(hash_key(F.col(key), seed), key))
+    n, rank = F.col("_n"), F.col("_rank")
     t, v = F.greatest(F.bround(n * F.lit(test)), F.lit(1)), F.greatest(F.bround(n * F.lit(val)), F.lit(1))
     v = F.greatest(F.least(v, n - 1 - t), F.lit(0))
     t = F.least(t, n - 1 - v)
     part = F.when((n <= 2) | (rank <= t), "test").when(rank <= t + v, "validation").otherwise("train")
-    return df.withColumn("part", part)
+    return group_rank(df, [label], [hash_key(F.col(key), seed), F.col(key)], "_rank", "_n").withColumn("part", part).drop("_rank", "_n")
 
 
 def largest_remainder(counts: DataFrame, label: str, share: str, total: int) -> DataFrame:
@@ -90,13 +104,20 @@ def quota_with_refill(counts: DataFrame, label: str, pooled: str, available: str
     return base.select(label, (F.col("n") + F.greatest(F.least(room, missing - before), F.lit(0))).alias("n"))
 
 
+def draw_by_quota(df: DataFrame, label: str, key: str, quotas: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of each label that its quota (label, n) draws, in hash order."""
+    ranked = group_rank(df.where(F.col(label).isNotNull()), [label], [hash_key(F.col(key), seed), F.col(key)], "_rank")
+    return ranked.join(quotas.select(label, F.col("n").alias("_n")), label).where("_rank <= _n").drop("_rank", "_n")
+
+
 def upsample(df: DataFrame, key: str, is_target: Column, factor: float, seed: int = 0) -> DataFrame:
     """df with copy: target rows repeated to ceil(n * factor), the extra copies spread evenly in hash order."""
-    every = Window.partitionBy(F.coalesce(is_target, F.lit(False)))
-    n, rank = F.count("*").over(every), F.row_number().over(every.orderBy(hash_key(F.col(key), seed), key))
+    target = F.coalesce(is_target, F.lit(False))
+    ranked = group_rank(df.withColumn("_target", target), ["_target"], [hash_key(F.col(key), seed), F.col(key)], "_rank", "_n")
+    n, rank = F.col("_n"), F.col("_rank")
     wanted = F.ceil(n * F.lit(factor))
-    copies = F.when(F.coalesce(is_target, F.lit(False)), F.floor(wanted / n) + (rank <= wanted % n).cast("bigint")).otherwise(1)
-    return df.withColumn("_copies", copies).where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).drop("_copies")
+    copies = F.when(F.col("_target"), F.floor(wanted / n) + (rank <= wanted % n).cast("bigint")).otherwise(1)
+    return ranked.withColumn("_copies", copies).where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).drop("_copies", "_target", "_rank", "_n")
 
 
 def contiguous_shards(df: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -124,11 +145,11 @@ def round_robin_shards(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFr
 
 def interleave(df: DataFrame, group: str, key: str, replicas: int, replica: int, seed: int = 0) -> DataFrame:
     """Balanced interleaving: ranks up to the smallest group's size, in order of rank and group, every replicas-th row."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(hash_key(F.col(key), seed), key))
-    ranked = df.where(F.col(group).isNotNull()).withColumn("rank", rank)
-    least = ranked.groupBy(group).agg(F.max("rank").alias("n")).agg(F.min("n").alias("least"))
-    # one row
-    kept = ranked.join(F.broadcast(least)).where("rank <= least").drop("least")
+    known = df.where(F.col(group).isNotNull())
+    ranked = group_rank(known, [group], [hash_key(F.col(key), seed), F.col(key)])
+    least = known.groupBy(group).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
+    # a cross join, as the other side is one row
+    kept = ranked.crossJoin(F.broadcast(least)).where("rank <= least").drop("least")
     placed = global_rank(kept, ["rank", group], "place").withColumn("place", (F.col("place") - 1).cast("bigint"))
     return placed.where(F.col("place") % replicas == replica)
 
@@ -136,18 +157,16 @@ def interleave(df: DataFrame, group: str, key: str, replicas: int, replica: int,
 def top_magnitudes(df: DataFrame, name: str, index: str, value: str, ratio: float, least: int = 1) -> DataFrame:
     """The max(least, ceil(ratio * nonzeros)) largest absolute values of each name; zeros never."""
     nonzero = df.where(F.col(value) != 0)
-    every = Window.partitionBy(name)
-    rank = F.row_number().over(every.orderBy(F.abs(value).desc(), index))
-    k = F.greatest(F.ceil(F.count("*").over(every) * F.lit(ratio)), F.lit(least))
-    return nonzero.withColumn("_rank", rank).withColumn("_k", k).where("_rank <= _k").drop("_rank", "_k")
+    k = F.greatest(F.ceil(F.col("_n") * F.lit(ratio)), F.lit(least))
+    return group_rank(nonzero, [name], [F.abs(value).desc(), F.col(index)], "_rank", "_n").where(F.col("_rank") <= k).drop("_rank", "_n")
 
 
 def normalize_indices(df: DataFrame, index: str, size: int) -> DataFrame:
     """(row): indices counted from 1 (no 0, one equal to size) shifted to 0, out of range dropped, each once."""
     low_high = df.agg(F.min(index).alias("low"), F.max(index).alias("high"))
     shift = F.when((F.col("low") >= 1) & (F.col("high") == size), 1).otherwise(0)
-    # one row
-    return df.join(F.broadcast(low_high)).select((F.col(index) - shift).alias("row")).where(F.col("row").between(0, size - 1)).distinct()
+    # a cross join, as the other side is one row
+    return df.crossJoin(F.broadcast(low_high)).select((F.col(index) - shift).alias("row")).where(F.col("row").between(0, size - 1)).distinct()
 
 
 def last_wins(df: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -162,12 +181,35 @@ def first_wins(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(F.struct(*values), order).alias("r")).select(*key, "r.*")
 
 
+#: Rows of one stretch of a group in the windows below.
+STRETCH = 4096
+
+
 def moving_average(df: DataFrame, group: list[str], order: str, value: str, width: int) -> DataFrame:
-    """df with smoothed: centred sums divided by the width at the edges too; groups shorter than it keep their values."""
-    half = width // 2
-    every = Window.partitionBy(*group)
-    near = every.orderBy(order).rowsBetween(-half, width - 1 - half)
-    return df.withColumn("smoothed", F.when(F.count("*").over(every) < width, F.col(value).cast("double")).otherwise(F.sum(value).over(near) / width))
+    """df with smoothed: centred sums divided by the width at the edges too; groups shorter than it keep their values.
+
+    Groups are cut into stretches, each with a copy of the rows that its edges need, so no window holds a whole group.
+    """
+    low, high = width // 2, width - 1 - width // 2
+    ranked = group_rank(df, group, [F.col(order)], "_rank", "_n")
+    of = lambda shift: F.floor((F.col("_rank") - 1 + shift) / STRETCH)
+    spread = ranked.withColumn("_own", of(0)).withColumn("_stretch", F.explode(F.array_distinct(F.array(of(0), F.greatest(of(-high), F.lit(0)), of(low)))))
+    near = Window.partitionBy(*group, "_stretch").orderBy("_rank").rowsBetween(-low, high)
+    smoothed = F.when(F.col("_n") < width, F.col(value).cast("double")).otherwise(F.sum(value).over(near) / width)
+    return spread.withColumn("smoothed", smoothed).where("_own = _stretch").drop("_own", "_stretch", "_rank", "_n")
+
+
+def running_mean(df: DataFrame, group: list[str], order: list[str], value: Column, name: str = "running") -> DataFrame:
+    """df with the mean of a value over the rows of the group so far: sums within stretches, and of all stretches before."""
+    ranked = group_rank(df.withColumn("_v", value), group, [F.col(c) for c in order], "_rank").withColumn("_stretch", F.floor((F.col("_rank") - 1) / STRETCH))
+    sums = ranked.groupBy(*group, "_stretch").agg(F.sum("_v").alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each stretch
+    sums = sums.select(*(F.col(c).alias(f"_of_{c}") for c in group), F.col("_stretch").alias("_of_stretch"), F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"))
+    inside = Window.partitionBy(*group, "_stretch").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group] + [F.col("_stretch") == F.col("_of_stretch")]
+    placed = ranked.withColumn("_inside", F.sum("_v").over(inside)).join(sums, same)
+    return placed.withColumn(name, (F.col("_before") + F.col("_inside")) / F.col("_rank")).drop("_v", "_rank", "_stretch", "_sum", "_before", "_inside", "_of_stretch", *(f"_of_{c}" for c in group))
 
 
 def mean_between_events(df: DataFrame, group: list[str], order: str, value: str, is_event: Column) -> DataFrame:

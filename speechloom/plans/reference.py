@@ -5,7 +5,7 @@ The tables hold no model output, so predictions are made by arithmetic on row nu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechloom.functions import text as tx
@@ -581,15 +581,15 @@ def q_set_mixed_union(spark, sf):
 WHERE r <= CASE WHEN language = 'english' THEN 60 ELSE 25 END""")
 def q_sample_capped_languages(spark, sf):
     rows = table(spark, sf, "segments").select("language", "utt_id", "ingested_at")
-    order = Window.partitionBy("language").orderBy(sampling.hash_key(F.col("utt_id"), 9), "utt_id", "ingested_at")
+    ranked = sampling.group_rank(rows, ["language"], [sampling.hash_key(F.col("utt_id"), 9), F.col("utt_id"), F.col("ingested_at")], "r")
     cap = F.when(F.col("language") == "english", 60).otherwise(25)
-    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).select("language", "utt_id")
+    return ranked.where(F.col("r") <= cap).select("language", "utt_id")
 
 
 @query(_PREDS + "SELECT source, sample_no, round(avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY source ORDER BY sample_no ROWS UNBOUNDED PRECEDING), 6) AS running FROM preds")
 def q_window_running_accuracy(spark, sf):
-    so_far = Window.partitionBy("source").orderBy("sample_no").rowsBetween(Window.unboundedPreceding, 0)
-    return _predictions(spark, sf).select("source", "sample_no", F.round(F.avg(F.when(F.col("is_correct"), 1.0).otherwise(0.0)).over(so_far), 6).alias("running"))
+    rows = sampling.running_mean(_predictions(spark, sf), ["source"], ["sample_no"], F.when(F.col("is_correct"), 1.0).otherwise(0.0))
+    return rows.select("source", "sample_no", F.round("running", 6).alias("running"))
 
 
 @query("""WITH s AS (SELECT DISTINCT utt_id, list_filter(string_split(trim(text), ' '), lambda w: w != '') AS w FROM segments WHERE trim(text) != '')
