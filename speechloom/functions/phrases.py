@@ -84,9 +84,12 @@ def mined_phrases(rows: DataFrame, text: str, least_count: int = 2, least_length
     """
     t = rows.select(normal_phrase(F.col(text)).alias("t")).where("t != ''")
     words = F.regexp_extract_all("t", F.lit(f"[{WORD}]+"), F.lit(0))
-    runs = [F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i, k=k: F.array_join(F.slice("w", i, F.lit(k)), " ")) for k in range(2, most_words + 1)]
-    guarded = [F.when(F.size("w") >= k, r).otherwise(F.array().cast("array<string>")) for k, r in zip(range(2, most_words + 1), runs)]
-    each = t.withColumn("w", words).select(F.explode(F.concat(F.array("t"), *guarded)).alias("phrase"))
+
+    def runs(k: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))
+        return F.when(F.size("w") >= k, found).otherwise(F.array().cast("array<string>"))
+
+    each = t.withColumn("w", words).select(F.explode(F.concat(F.array("t"), *(runs(k) for k in range(2, most_words + 1)))).alias("phrase"))
     counted = each.where(F.length("phrase") >= least_length).groupBy("phrase").agg(F.count("*").alias("n"))
     found = counted.where(F.col("n") >= least_count)
     if not seeds:
@@ -159,18 +162,20 @@ def nearest_label(text: Column, labels: Column) -> Column:
     Similarity is the ratio of matching blocks, and of equal ones the greater label in order; always answered.
     """
     @F.pandas_udf(StringType())
-    def similar(texts: pd.Series, names: pd.Series) -> pd.Series:
-        # the first argument is compared as the second sequence, as the measure is not symmetric
-        def one(x: str, own) -> str | None:
-            scored = []
+    def similar(texts: pd.Series, own: pd.Series, normal: pd.Series) -> pd.Series:
+        # the text is the second sequence, as the measure is not symmetric; of equal names the last label
+        def one(x: str | None, labels, names) -> str | None:
+            if x is None or labels is None:
+                return None
             matcher = difflib.SequenceMatcher()
-            matcher.set_seq2(x or "")
-            for n in own if own is not None else ():
-                matcher.set_seq1(n)
-                scored.append((matcher.ratio(), n))
-            return max(scored)[1] if scored else None
+            matcher.set_seq2(x)
+            best: tuple[float, str, str] | None = None
+            for name, label in dict(zip(names, labels)).items():
+                matcher.set_seq1(name)
+                best = max(best or (-1.0, "", ""), (matcher.ratio(), name, label))
+            return best[2] if best else None
 
-        return pd.Series([one(x, n) for x, n in zip(texts, names)], dtype=object)
+        return pd.Series([one(*x) for x in zip(texts, own, normal)], dtype=object)
 
     raw = F.trim(F.coalesce(text, F.lit("")))
     normal = F.coalesce(normalize_label(raw), F.lit(""))
@@ -181,7 +186,7 @@ def nearest_label(text: Column, labels: Column) -> Column:
     found = F.coalesce(F.when(F.array_contains(F.transform(pairs, lambda p: p["n"]), normal), normal), longest)
     # Python sees only what the first two rules leave
     asked = F.when(found.isNull(), normal)
-    return F.coalesce(last(found), last(F.when(found.isNull(), similar(asked, F.array_distinct(F.transform(pairs, lambda p: p["n"]))))), raw)
+    return F.coalesce(last(found), similar(asked, labels, F.transform(pairs, lambda p: p["n"])), raw)
 
 
 #: Lead-ins of questions, and words whose capital is lowered (fixed values).

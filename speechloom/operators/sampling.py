@@ -212,6 +212,19 @@ def running_mean(df: DataFrame, group: list[str], order: list[str], value: Colum
     return placed.withColumn(name, (F.col("_before") + F.col("_inside")) / F.col("_rank")).drop("_v", "_rank", "_stretch", "_sum", "_before", "_inside", "_of_stretch", *(f"_of_{c}" for c in group))
 
 
+def running_least(df: DataFrame, group: list[str], order: list[str], value: str, name: str = "best") -> DataFrame:
+    """df with the least value of the group so far: within stretches, and of all stretches before."""
+    ranked = group_rank(df, group, [F.col(c) for c in order], "_rank").withColumn("_stretch", F.floor((F.col("_rank") - 1) / STRETCH))
+    least = ranked.groupBy(*group, "_stretch").agg(F.min(value).alias("_least"))
+    before = Window.partitionBy(*group).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each stretch
+    least = least.select(*(F.col(c).alias(f"_of_{c}") for c in group), F.col("_stretch").alias("_of_stretch"), F.min("_least").over(before).alias("_before"))
+    inside = Window.partitionBy(*group, "_stretch").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group] + [F.col("_stretch") == F.col("_of_stretch")]
+    placed = ranked.withColumn("_inside", F.min(value).over(inside)).join(least, same)
+    return placed.withColumn(name, F.least("_before", "_inside")).drop("_rank", "_stretch", "_before", "_inside", "_of_stretch", *(f"_of_{c}" for c in group))
+
+
 def mean_between_events(df: DataFrame, group: list[str], order: str, value: str, is_event: Column) -> DataFrame:
     """Of each event: the mean of the values since the one before (null without any)."""
     w = Window.partitionBy(*group).orderBy(order)

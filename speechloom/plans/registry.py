@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechloom.plans import problems, reference
+from speechloom.plans import extended, problems, reference  # noqa: F401  extended registers its queries with reference
 
 QUERIES = problems.QUERIES | reference.QUERIES
 ORACLES = problems.ORACLES | reference.ORACLES
