@@ -133,7 +133,8 @@ def two_stages(steps: Column, fraction: float) -> Column:
 
 def parsed_prior(raw: Column) -> Column:
     """map<label, share> of `A:0.25,B:0.25`, normalised to sum 1; tokens without a number or a positive sum fail."""
-    tokens = F.filter(F.transform(F.split(raw, ","), F.trim), lambda t: t != "")
+    # transform gives a function of two parameters the place too, and trim would take it for the characters to cut
+    tokens = F.filter(F.transform(F.split(raw, ","), lambda t: F.trim(t)), lambda t: t != "")
     entries = F.transform(tokens, lambda t: F.struct(F.upper(F.trim(F.substring_index(t, ":", 1))).alias("label"), F.trim(F.substring_index(t, ":", -1)).cast("double").alias("share")))
     total = F.aggregate(entries, F.lit(0.0), lambda a, e: a + e["share"])
     return F.when(F.assert_true((total > 0) & F.forall(tokens, lambda t: t.contains(":")), F.lit("no prior")).isNull(), F.map_from_entries(F.transform(entries, lambda e: F.struct(e["label"], e["share"] / total))))

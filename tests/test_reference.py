@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from speechloom.functions import text as tx
 from speechloom.functions import timeref
-from speechloom.operators import joins, mcq, metrics, sampling
+from speechloom.operators import joins, mcq, metrics, sampling, selection
 from speechloom.plans import reference
 from speechloom.sources import kaldi
 from speechloom.streaming import windows
@@ -156,3 +156,11 @@ def test_labels_of_any_script(spark, rows, tmp_path):
     assert rows(reference.QUERIES["q_text_labels"](spark, str(tmp_path))) == [
         (1, "who sang at 5 30", "B", "english"), (2, "où est l école là-bas", "A", "french"), (3, "кто поёт", "C", "russian"), (4, "誰が歌う 二回", "D", None), (5, "누가 노래해", None, None), (6, None, "A", "greek"), (7, "", "A", "greek"),
     ]
+
+
+def test_prior_of_tokens_at_any_place(spark):
+    assert one(spark, " a : 1 ,b:3,, ", selection.parsed_prior) == {"A": 0.25, "B": 0.75}
+    # the place of each token is a character at its end
+    shares = [0.2, 0.01, 0.22, 0.03, 0.14, 0.05, 0.06, 0.07, 0.08, 0.09, 0.01, 0.04]
+    raw = ",".join(f"{chr(97 + i)}:{x}" for i, x in enumerate(shares))
+    assert one(spark, raw, selection.parsed_prior) == pytest.approx({chr(65 + i): x / sum(shares) for i, x in enumerate(shares)})
