@@ -20,11 +20,19 @@ SERBIAN_PAIRS = {"dž": "џ", "lj": "љ", "nj": "њ"}
 SERBIAN_FROM, SERBIAN_TO = "abvgdđežzijklmnoprstćufhcčš", "абвгдђежзијклмнопрстћуфхцчш"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value); however often body names the value, it stands in the plan and is worked out once."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def rewritten(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """A text with each match of a pattern replaced by a function of it: parted, changed and joined on the JVM side."""
-    parts, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.transform(parts, lambda p, i: F.concat(F.when(i > 0, change(F.get(found, i - 1))).otherwise(F.lit("")), p))
-    return F.array_join(pieces, "")
+    def joined(t: Column) -> Column:
+        parts, found = F.split(t, pattern), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        before = F.concat(F.array(F.lit(None).cast("string")), found)
+        return F.array_join(F.zip_with(parts, before, lambda p, m: F.concat(F.when(m.isNotNull(), change(m)).otherwise(F.lit("")), p)), "")
+
+    return bound(text, joined)
 
 
 def collapse(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from speechloom.functions.text import rewritten
+from speechloom.functions.text import bound, rewritten
 
 #: Forms of times, units, keywords and separators (fixed values).
 CLOCK = r"\d+(?::\d{1,2}){1,2}"
@@ -19,8 +19,9 @@ _RANGE = rf"(?i)({TOKEN})(\s*{DASH}\s*)({TOKEN})"
 _BOX = rf"\[\s*({NUMBER})\s*,\s*({NUMBER})\s*\]"
 _POINT = rf"(?i)({KEYWORD}\s*)({TOKEN})"
 _BARE = rf"(?<![\d:]){CLOCK}(?![\d:])"
-#: What a bare clock time may not overlap comes first; so a match of clock form alone is a bare one.
-_ANY = rf"(?i)(?:{KEYWORD}\s*)?{TOKEN}\s*{DASH}\s*{TOKEN}|{KEYWORD}\s*{TOKEN}|{_BARE}"
+#: What a bare clock time may not overlap comes first, with the whole of a clock time in whose seconds a range begins
+#: (`0:05 s - 12:00`); so a match of clock form alone is a bare one.
+_ANY = rf"(?i)(?:{KEYWORD}\s*)?(?:{CLOCK}(?:[.,]\d+)?(?:\s*(?:{UNITS}))?|{TOKEN})\s*{DASH}\s*{TOKEN}|{KEYWORD}\s*{TOKEN}|{_BARE}"
 
 RANGES = "array<struct<lo:double,hi:double>>"
 
@@ -109,24 +110,29 @@ def in_local_time(text: Column, windows: Column) -> Column:
     Three passes: ranges of which both ends fall into windows, points after a keyword, bare clock times. Each pass
     sees the text of the one before. Times outside the windows, ranges in brackets and texts without a window stay.
     """
-    kept = F.array_sort(F.filter(windows, lambda w: w["hi"] > w["lo"]))
-    moved = lambda token: local_time(seconds_of(token), kept)
+    def moved(token: Column, kept: Column) -> Column:
+        """The token in local time; null outside the windows."""
+        spelled = lambda at, t: F.when(at.isNotNull(), like_token(at, t))
+        return bound(token, lambda t: bound(seconds_of(t), lambda s: bound(local_time(s, kept), lambda at: spelled(at, t))))
 
-    def of_range(m: Column) -> Column:
+    def of_range(m: Column, kept: Column) -> Column:
         a, between, b = (F.regexp_extract(m, f"^{_RANGE}$", i) for i in (1, 2, 3))
-        return F.coalesce(F.concat(like_token(moved(a), a), between, like_token(moved(b), b)), m)
+        return F.coalesce(F.concat(moved(a, kept), between, moved(b, kept)), m)
 
-    def of_point(m: Column) -> Column:
+    def of_point(m: Column, kept: Column) -> Column:
         lead, t = (F.regexp_extract(m, f"^{_POINT}$", i) for i in (1, 2))
-        return F.coalesce(F.concat(lead, like_token(moved(t), t)), m)
+        return F.coalesce(F.concat(lead, moved(t, kept)), m)
 
-    def of_clock(m: Column) -> Column:
-        return F.when(m.rlike(f"^{CLOCK}$"), F.coalesce(like_token(moved(m), m), m)).otherwise(m)
+    def of_clock(m: Column, kept: Column) -> Column:
+        return F.when(m.rlike(f"^{CLOCK}$"), F.coalesce(moved(m, kept), m)).otherwise(m)
 
-    out = text
-    for pattern, change in ((_RANGE, of_range), (_POINT, of_point), (_ANY, of_clock)):
-        out = rewritten(out, pattern, change)
-    return F.when(F.size(kept) > 0, out).otherwise(text)
+    def passes(kept: Column) -> Column:
+        out = text
+        for pattern, change in ((_RANGE, of_range), (_POINT, of_point), (_ANY, of_clock)):
+            out = rewritten(out, pattern, lambda m, change=change: change(m, kept))
+        return F.when(F.size(kept) > 0, out).otherwise(text)
+
+    return bound(F.array_sort(F.filter(windows, lambda w: w["hi"] > w["lo"])), passes)
 
 
 def merged_ranges(ranges: Column, gap: float = 0.0) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from speechloom.functions import text as tx
 from speechloom.functions import timeref
 from speechloom.operators import joins, mcq, metrics, sampling, selection
-from speechloom.plans import reference
+from speechloom.plans import pipelines, reference
 from speechloom.sources import kaldi
 from speechloom.streaming import windows
 
@@ -164,3 +164,14 @@ def test_prior_of_tokens_at_any_place(spark):
     shares = [0.2, 0.01, 0.22, 0.03, 0.14, 0.05, 0.06, 0.07, 0.08, 0.09, 0.01, 0.04]
     raw = ",".join(f"{chr(97 + i)}:{x}" for i, x in enumerate(shares))
     assert one(spark, raw, selection.parsed_prior) == pytest.approx({chr(65 + i): x / sum(shares) for i, x in enumerate(shares)})
+
+
+@pytest.mark.parametrize(
+    "text,rewritten,n",
+    [("between 3:34 and 7:39?", "between 00:05 and 00:15?", 2), ("at 2:00 or after 11:26", "at 00:05 or after 11:26", 1), ("1:30-2:00 at 5 min", "00:05-00:35 at 1min", 2), ("12,5 s to 20 s", "5.00s to 12s", 1), ("at 1:02:03", "at 1:02:03", 0), ("[22.12, 24.83] at 23", "[22.12, 24.83] at 6s", 2),
+     ("0:05 s - 12:00", "0:05 s - 12:00", 1), ("0:05 s - 9:00", "0:5s - 09:00", 1), ("who sings?", "who sings?", 0), ("", "", 0), (None, None, 0)],
+)
+def test_times_of_a_cropped_recording(spark, text, rewritten, n):
+    rows = spark.createDataFrame([(text, 600.0)], "q string, d double")
+    got = pipelines.cropped_questions(rows, "q", "d", 5.0).select("q", F.size("windows")).first()
+    assert tuple(got) == (rewritten, n)
